@@ -104,5 +104,5 @@ def _unfold(runs: DataFrame, keys: list[str], order_by: list[str], occ: str) ->
 
     spread = chunk(runs, big).repartition("_first", *keys)
     spread = chunk(spread, mid).repartition("_first", *keys)
-    places = F.sequence(F.col("_first") + 1, F.col("_first") + F.col("_run"))
-    return spread.select(*kept, F.explode(places).cast("long").alias(occ))
+    places = F.sequence((F.col("_first") + 1).cast("long"), (F.col("_first") + F.col("_run")).cast("long"))
+    return spread.select(*kept, F.explode(places).alias(occ))

@@ -1,3 +1,3 @@
-from suite import rows
+from suite import rows, texts
 
-GROUPS = [rows]
+GROUPS = [rows, texts]
