@@ -1,3 +1,3 @@
-from suite import rows, texts
+from suite import rows, schemas, texts
 
-GROUPS = [rows, texts]
+GROUPS = [rows, texts, schemas]

@@ -41,13 +41,28 @@ def with_recipes(body: str, extra: dict[str, str] | None = None, recursive: bool
     return (head + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()
 
 
+_PLANS: dict = {}
+
+
+def once(spark: SparkSession, key: tuple, make):
+    """Keep a lazy plan for the session, so that many queries need not analyse it again.
+    No data is kept."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _PLANS:
+        _PLANS[full] = make()
+    return _PLANS[full]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return once(spark, ("table", sf_dir, name), lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def load(spark: SparkSession, sf_dir: str, name_or_sql: str) -> DataFrame:
     """The rows of a recipe, or of SQL over recipes, in Spark."""
-    text = name_or_sql
+    return once(spark, ("recipe", sf_dir, name_or_sql), lambda: _load(spark, sf_dir, name_or_sql))
+
+
+def _load(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     if re.fullmatch(r"\w+", text):
         text = f"SELECT * FROM {text}"
     text = with_recipes(text)
