@@ -1,3 +1,3 @@
-from suite import rows, schemas, texts
+from suite import deployments, rows, schemas, texts
 
-GROUPS = [rows, texts, schemas]
+GROUPS = [rows, texts, schemas, deployments]
