@@ -1,3 +1,3 @@
-from suite import deployments, rows, schemas, texts
+from suite import catalogs, deployments, rows, schemas, texts
 
-GROUPS = [rows, texts, schemas, deployments]
+GROUPS = [rows, texts, schemas, deployments, catalogs]
