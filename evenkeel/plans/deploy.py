@@ -16,6 +16,7 @@ from evenkeel.functions.dialect import Dialect, fill
 from evenkeel.operators.codediff import code_key
 from evenkeel.operators.schemadiff import TABLE_KEY, SchemaDiff
 from evenkeel.options import CompareOptions, ScriptOptions
+from evenkeel.plans.lineage import cut
 from evenkeel.plans.ordering import creation_order
 from evenkeel.sources.snapshot import Snapshot
 
@@ -365,7 +366,8 @@ class DeploymentPlan:
             self.schemas, self.drop_code, self.drop_fks, self.drop_constraints, self.drop_tables, self.create_tables,
             self.alter_columns, self.add_constraints, self.create_indexes, self.create_fks, self.create_code,
         ]
-        body = _union(phases)
+        # Landed once: the titles and any sort would compute all phases again.
+        body = cut(_union(phases))
         title = F.lit("")
         for phase, name in SECTIONS.items():
             title = F.when(F.col("phase") == phase, f"-- ==== {name} ====").otherwise(title)

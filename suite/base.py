@@ -45,8 +45,8 @@ _PLANS: dict = {}
 
 
 def once(spark: SparkSession, key: tuple, make):
-    """Keep a lazy plan for the session, so that many queries need not analyse it again.
-    No data is kept."""
+    """Keep what `make` gives for the session: a lazy plan, so that many queries need not
+    analyse it again, or a frame landed in the checkpoint folder."""
     full = (spark.sparkContext.applicationId, *key)
     if full not in _PLANS:
         _PLANS[full] = make()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evenkeel.plans.lineage import cut
 from evenkeel.sources import snapshot
 from suite.base import load, once, recipe
 
@@ -244,8 +245,12 @@ def fleet(spark, sf, postgres: bool = False) -> snapshot.Snapshot:
 
 
 def _fleet(spark, sf, postgres: bool) -> snapshot.Snapshot:
+    """The snapshot is landed once: a plan reads each of its frames several times, and a
+    user's snapshot lies in files too."""
+
     def get(name):
-        return load(spark, sf, name).withColumnRenamed("sch", "schema").withColumnRenamed("tbl", "table").withColumnRenamed("coll", "collation")
+        rows = once(spark, ("landed frame", sf, name), lambda: cut(load(spark, sf, name)))
+        return rows.withColumnRenamed("sch", "schema").withColumnRenamed("tbl", "table").withColumnRenamed("coll", "collation")
 
     # Lists come in reverse here: their order must come from `ord`.
     keys = get("f_keys").withColumn("columns", F.reverse(_pair(("c1", "d1"), ("c2", "d2"))))
