@@ -5,6 +5,8 @@ All functions map columns to columns and stay inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,46 +31,69 @@ def normalize_module(text: Column, collapse: bool = True) -> Column:
     return F.coalesce(F.trim(F.array_join(trimmed, "\n"), F.lit("\n")), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it by name in `body`."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _count_of(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def strip_outer_parens(text: Column) -> Column:
-    """Drop parentheses that wrap the whole text, however many there are.
+def _wrapping_pairs(text: Column) -> Column:
+    """How many pairs of parentheses wrap the whole of a text.
 
-    The number of wrapping pairs is the least of three counts: opening parentheses at
-    the front, closing ones at the back, and the lowest nesting depth reached between
-    them. One pass over the parentheses finds it, so there is no limit on the depth.
+    It is the least of three counts: opening parentheses at the front, closing ones at the
+    back, and the lowest nesting depth reached between them. One pass over the
+    parentheses finds it, so there is no limit on the depth.
     """
-    front = F.regexp_extract(text, r"^[( ]*", 0)
-    back = F.regexp_extract(text, r"[) ]*$", 0)
-    opened = _count_of(front, "(")
-    closed = _count_of(back, ")")
-    inner = F.substring(
-        text, F.length(front) + 1, F.greatest(F.length(text) - F.length(front) - F.length(back), F.lit(0))
-    )
-    marks = F.filter(F.split(F.regexp_replace(inner, r"[^()]", ""), ""), lambda c: c != "")
-    walk = F.aggregate(
-        marks,
-        F.struct(opened.alias("depth"), opened.alias("low")),
-        lambda acc, c: F.struct(
-            (acc["depth"] + F.when(c == "(", 1).otherwise(-1)).alias("depth"),
-            F.least(acc["low"], acc["depth"] + F.when(c == "(", 1).otherwise(-1)).alias("low"),
-        ),
-    )
-    final_depth = walk["depth"] - closed
-    pairs = F.when(final_depth < 0, F.lit(0)).otherwise(F.least(opened, closed, walk["low"]))
-    pairs = F.greatest(pairs, F.lit(0))
+
+    def count(ends: Column) -> Column:
+        front, back = ends["front"], ends["back"]
+        opened, closed = _count_of(front, "("), _count_of(back, ")")
+        inner_length = F.length(text) - F.length(front) - F.length(back)
+        inner = F.substring(text, F.length(front) + 1, F.greatest(inner_length, F.lit(0)))
+        marks = F.filter(F.split(F.regexp_replace(inner, r"[^()]", ""), ""), lambda c: c != "")
+
+        def step(state: Column, mark: Column) -> Column:
+            depth = state["depth"] + F.when(mark == "(", 1).otherwise(-1)
+            return F.struct(depth.alias("depth"), F.least(state["low"], depth).alias("low"))
+
+        start = F.struct(opened.alias("depth"), opened.alias("low"))
+        return let(
+            F.aggregate(marks, start, step),
+            lambda walk: F.when(walk["depth"] - closed < 0, F.lit(0)).otherwise(
+                F.greatest(F.least(opened, closed, walk["low"]), F.lit(0))
+            ),
+        )
+
+    front = F.regexp_extract(text, r"^[( ]*", 0).alias("front")
+    back = F.regexp_extract(text, r"[) ]*$", 0).alias("back")
+    return let(F.struct(front, back), count)
+
+
+def _without(text: Column, pairs: Column) -> Column:
+    """The text inside its outermost parentheses, `pairs` levels deep."""
     skip = F.length(F.call_function("substring_index", text, F.lit("("), pairs)) + 1
     cut = F.length(F.call_function("substring_index", text, F.lit(")"), -pairs)) + 1
-    bare = F.trim(F.substring(text, skip + 1, F.greatest(F.length(text) - skip - cut, F.lit(0))))
-    return F.when(text.startswith("(") & text.endswith(")") & (pairs > 0), bare).otherwise(text)
+    return F.trim(F.substring(text, skip + 1, F.greatest(F.length(text) - skip - cut, F.lit(0))))
+
+
+def strip_outer_parens(text: Column) -> Column:
+    """Drop parentheses that wrap the whole text, however many there are."""
+
+    def stripped(flat: Column) -> Column:
+        inside = let(
+            _wrapping_pairs(flat), lambda pairs: F.when(pairs > 0, _without(flat, pairs)).otherwise(flat)
+        )
+        return F.when(flat.startswith("(") & flat.endswith(")"), inside).otherwise(flat)
+
+    return let(text, stripped)
 
 
 def normalize_expression(text: Column) -> Column:
     """Comparable form of a default, check or computed expression. Blank and NULL give ''."""
-    flat = F.lower(collapse_whitespace(F.coalesce(text, F.lit(""))))
-    return F.when(flat.startswith("("), strip_outer_parens(flat)).otherwise(flat)
+    return strip_outer_parens(F.lower(collapse_whitespace(F.coalesce(text, F.lit("")))))
 
 
 def base_type(type_text: Column) -> Column:

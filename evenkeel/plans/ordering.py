@@ -50,6 +50,10 @@ def mentions(objects: DataFrame) -> DataFrame:
     sized = texts.join(sizes, _GROUP).select(*_GROUP, "input_ord", "_text", F.explode("_sizes").alias("_size"))
     in_text = sized.select(*_GROUP, "input_ord", F.explode(_grams(F.col("_text"), F.col("_size"))).alias("_gram"))
     in_name = named.select(*_GROUP, "needs", F.explode(_grams(F.col("_name"), F.col("_size"))).alias("_gram"))
+    # Pieces of texts that no name has are dropped in the shuffle that brings equal pieces
+    # together. The side kept in memory holds each piece once.
+    known = in_name.select(*_GROUP, "_gram").distinct().hint("shuffle_hash")
+    in_text = in_text.join(known, _GROUP + ["_gram"], "left_semi")
     spread = in_text.groupBy(*_GROUP, "_gram").agg(F.count(F.lit(1)).alias("_texts"))
     rated = in_name.join(spread, _GROUP + ["_gram"], "left")
     anchor = rated.groupBy(*_GROUP, "needs").agg(

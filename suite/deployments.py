@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.dialect import POSTGRESQL, SQL_SERVER
 from evenkeel.options import ScriptOptions
 from evenkeel.plans.deploy import PLAN_ORDER, SECTIONS, DeploymentPlan
-from suite.base import once, oracle
+from suite.base import oracle
 from suite.fleet import fleet
 from suite.schemas import BASE, steps
 
@@ -18,13 +18,8 @@ _PG_BASE = steps(columns="g_columns", indexes="g_indexes")
 
 
 def plan(spark, sf, postgres=False, **script) -> DeploymentPlan:
-    return once(
-        spark,
-        ("plan", sf, postgres, *sorted(script.items())),
-        lambda: DeploymentPlan(
-            fleet(spark, sf, postgres), POSTGRESQL if postgres else SQL_SERVER, script=ScriptOptions(**script)
-        ),
-    )
+    dialect = POSTGRESQL if postgres else SQL_SERVER
+    return DeploymentPlan(fleet(spark, sf, postgres), dialect, script=ScriptOptions(**script))
 
 
 # The DuckDB side ------------------------------------------------------------------
