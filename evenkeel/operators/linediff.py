@@ -8,28 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _lines(source: DataFrame, target: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """All lines of both versions, tagged with their side. The versions need no join: equal
+    lines meet when lines are grouped by key and line."""
+
+    def split(df: DataFrame, side: int) -> DataFrame:
+        lines = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n", -1)
+        return df.select(*keys, F.lit(side).alias("side"), F.posexplode(lines).alias("line_no", "line"))
+
+    return split(source, 0).unionByName(split(target, 1))
+
+
 def line_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], text: str = "definition") -> DataFrame:
     """One row per line: keys, line_no from 0 in its own version, line, status.
 
     Equal lines pair up in order of appearance; a kept line is listed once, where the
-    source has it. The join on the keys is the only shuffle: counting the lines of an
-    object stays within the partition the join put it in.
+    source has it. A group holds the equal lines of one object, so no more than two texts.
     """
     keys = list(keys)
-    both = (
-        source.select(*keys, F.col(text).alias("_s"))
-        .alias("l")
-        .join(target.select(*keys, F.col(text).alias("_t")).alias("r"), keys, "full_outer")
-    )
-
-    def lines(col: str, side: int):
-        split = F.split(F.regexp_replace(F.col(col), "\r\n?", "\n"), "\n", -1)
-        rows = F.transform(split, lambda line, i: F.struct(F.lit(side).alias("side"), i.alias("line_no"), line.alias("line")))
-        return F.coalesce(rows, F.array().cast("array<struct<side:int,line_no:int,line:string>>"))
-
-    rows = both.select(*keys, F.explode(F.concat(lines("_s", 0), lines("_t", 1))).alias("x")).select(*keys, "x.*")
     same = Window.partitionBy(*keys, "line")
-    rows = rows.select(
+    rows = _lines(source, target, keys, text).select(
         *keys,
         "side",
         "line_no",
@@ -42,10 +40,17 @@ def line_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], text: s
     return rows.withColumn("status", status).filter(~kept_twice).select(*keys, "line_no", "line", "status")
 
 
-def line_diff_summary(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Line counts per object."""
-    return lines.groupBy(*keys).agg(
-        F.count_if(F.col("status") == "deleted").alias("deleted"),
-        F.count_if(F.col("status") == "inserted").alias("inserted"),
-        F.count_if(F.col("status") == "unchanged").alias("unchanged"),
+def line_diff_summary(
+    source: DataFrame, target: DataFrame, keys: Sequence[str], text: str = "definition"
+) -> DataFrame:
+    """Line counts per object. Equal lines are counted before the shuffle."""
+    keys = list(keys)
+    counted = _lines(source, target, keys, text).groupBy(*keys, "line").agg(
+        F.count_if(F.col("side") == 0).alias("s"), F.count_if(F.col("side") == 1).alias("t")
+    )
+    zero = F.lit(0)
+    return counted.groupBy(*keys).agg(
+        F.sum(F.greatest(F.col("s") - F.col("t"), zero)).alias("deleted"),
+        F.sum(F.greatest(F.col("t") - F.col("s"), zero)).alias("inserted"),
+        F.sum(F.least("s", "t")).alias("unchanged"),
     )

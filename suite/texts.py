@@ -224,7 +224,7 @@ def _(spark, sf):
 
 @query("line_diff_summary")
 def _(spark, sf):
-    return linediff.line_diff_summary(_lines(spark, sf), ["doc_id"])
+    return linediff.line_diff_summary(load(spark, sf, "lines_s"), load(spark, sf, "lines_t"), ["doc_id"])
 
 
 _LINE_STEPS = {
