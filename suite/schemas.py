@@ -202,13 +202,15 @@ def diff(spark, sf, postgres=False, **options) -> SchemaDiff:
 
 # Columns of the wide catalog ----------------------------------------------------------
 _WIDE = normal_form("select default_expr as e from d_columns") | {
+    "d_tables": "select sch, tbl, count(distinct side) as sides, min(side) as side from d_columns group by sch, tbl",
     "dj": f"""
 select coalesce(s.sch, t.sch) as schema, coalesce(s.tbl, t.tbl) as tbl, coalesce(s.name, t.name) as item, s.name as s_name, t.name as t_name,
        s.data_type as s_type, t.data_type as t_type, s.is_nullable as s_null, t.is_nullable as t_null, s.default_expr as s_def, t.default_expr as t_def,
        {norm('s.default_expr')} as s_nd, {norm('t.default_expr')} as t_nd
 from (select * from d_columns where side = 'source') s full outer join (select * from d_columns where side = 'target') t
   on s.sch = t.sch and s.tbl = t.tbl and upper(s.name) = upper(t.name)
-"""
+where (coalesce(s.sch, t.sch), coalesce(s.tbl, t.tbl)) in (select (sch, tbl) from d_tables where sides = 2)
+""",
 }
 
 
@@ -257,9 +259,10 @@ def _(spark, sf):
 
 ORACLES["details_preview"] = oracle(
     """
-select s.sch as schema, s.tbl as name, case when coalesce(n, 0) > 0 then 'Different' else 'Equal' end as status, coalesce(n, 0) as n_details,
+select s.sch as schema, s.tbl as name, case when sides = 1 then case side when 'source' then 'SourceOnly' else 'TargetOnly' end when coalesce(n, 0) > 0 then 'Different' else 'Equal' end as status,
+       coalesce(n, 0) as n_details,
        coalesce(array_to_string(l[1:4], '; ') || case when n > 4 then ' … (+' || (n - 4) || ')' else '' end, '') as preview
-from (select distinct sch, tbl from d_columns) s left join (
+from d_tables s left join (
   select schema, tbl, count(*) as n, list(detail order by only_target, ord, ck, a) as l from rows group by schema, tbl) f
 on f.schema = s.sch and f.tbl = s.tbl
 """,
