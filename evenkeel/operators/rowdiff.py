@@ -367,21 +367,14 @@ def apply_changes(
                 cols.append(F.col(f"{own}.`{f.name}`").alias(f.name))
         return cols
 
-    kept = target
+    kept = target.select(
+        *[F.col(f"`{plan.target_name[c]}`").alias(c) for c in plan.keys + plan.values],
+        *[F.col(f"`{c}`") for c in plan.target_only],
+    )
     if options.pair_duplicates:
-        # Number the target with its own columns along, in the order used for matching.
-        named = target.select(
-            *[F.col(f"`{plan.target_name[c]}`").alias(c) for c in plan.keys + plan.values],
-            *[F.col(f"`{c}`") for c in plan.target_only],
-        )
-        kept = number_occurrences(
-            named, plan.keys, list(plan.values) + list(plan.target_only), options.hot_key_rows
-        )
-    else:
-        kept = target.select(
-            *[F.col(f"`{plan.target_name[c]}`").alias(c) for c in plan.keys + plan.values],
-            *[F.col(f"`{c}`") for c in plan.target_only],
-        )
+        # Compared columns decide the order, so positions are those of the compare.
+        order = list(plan.values) + list(plan.target_only)
+        kept = number_occurrences(kept, plan.keys, order, options.hot_key_rows)
     cond = _key_condition(on, options.null_safe_keys)
     if plan.target_only:
         own = kept.select(*on, *[F.col(f"`{c}`") for c in plan.target_only])

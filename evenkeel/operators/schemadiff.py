@@ -76,7 +76,7 @@ class SchemaDiff:
     def matched(self) -> DataFrame:
         return self.tables.filter("presence = 'Both'").drop("presence")
 
-    def pair_up(self, df: DataFrame, on: list[str], light: bool = False) -> DataFrame:
+    def pair_up(self, df: DataFrame, on: list[str]) -> DataFrame:
         """Children of matched tables by name: keys, table names, structs `s` and `t`."""
         source, target = self.sides(df)
         rest = [c for c in df.columns if c not in on + ["side"]]
