@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import pieces
-from evenkeel.llm.common import keyed, table
+from evenkeel.llm import pieces, simhash
+from evenkeel.llm.common import table
 
 
 def piece_model() -> str:
@@ -21,9 +21,8 @@ def piece_model() -> str:
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     name = pieces.ship(spark, piece_model())
-    encoded = keyed(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", pieces.encode(F.col("text"), name).alias("ids"))
-    decoded = encoded.select("id", "ids", pieces.decode(F.col("ids"), name).alias("decoded"))
-    return decoded.select(
+    encoded = pieces.encode(table(spark, sf_dir, "documents").fillna("", "text"), name, decoded=True)
+    return encoded.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
@@ -31,7 +30,14 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the near-duplicate group of every document."""
+    found = simhash.clusters(table(spark, sf_dir, "documents"), words=4, bits=4)
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pieces": op7_pieces,
+    "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
