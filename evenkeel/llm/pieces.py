@@ -18,10 +18,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from evenkeel.llm.common import col
 
 SPACE = "▁"
 _NONE = np.int64(1) << 40
@@ -37,7 +38,7 @@ codecs.register_error("one_per_byte", _replace_each)
 class PieceModel:
     """A BPE model file with identity normalisation. `max_units` bounds the memory of a worker."""
 
-    def __init__(self, path: str, max_units: int = 600_000):
+    def __init__(self, path: str, max_units: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -210,16 +211,7 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        out, block, size = [], [], 0
-        for text in texts:
-            block.append(self.units(text))
-            size += len(text)
-            if size > 1_000_000:
-                out += self._ids(block)
-                block, size = [], 0
-        return out + self._ids(block)
-
-    def _ids(self, block: list[list[str]]) -> list[np.ndarray]:
+        block = [self.units(text) for text in texts]
         if len(self.known) > self.max_units:
             self.known.clear()
         new = list(set().union(*block).difference(self.known))
@@ -262,26 +254,56 @@ def ship(spark: SparkSession, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def encode(text: Column, name: str) -> Column:
-    """array<int>: the ids of each text."""
+def _blocks(column: pa.Array, most: int) -> Iterator[tuple[int, list]]:
+    """The values of a column in runs of rows that hold about `most` characters or ids; (first row, values)."""
+    out, held, at = [], 0, 0
+    for k, value in enumerate(column):
+        value = value.as_py() if pa.types.is_string(column.type) else value.values.to_numpy() if value.is_valid else None
+        out.append(value)
+        held += 0 if value is None else len(value)
+        if held > most:
+            yield at, out
+            out, held, at = [], 0, k + 1
+    if out:
+        yield at, out
+
+
+def _listed(ids: list[np.ndarray | None]) -> pa.Array:
+    """Arrays of ids as one column; nulls stay null."""
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in ids)])
+    starts = pa.array(ends.astype(np.int32), mask=np.array([*(x is None for x in ids), False]))
+    flat = [x for x in ids if x is not None]
+    return pa.ListArray.from_arrays(starts, pa.array(np.concatenate(flat) if flat else np.array([], np.int32), pa.int32()))
+
+
+def encode(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids) for every row, and `decoded`, the text of these ids, if asked for in the same pass."""
+    rows = docs.select(col(key).alias("id"), col(text).cast("string").alias("text"))
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(SparkFiles.get(name))
-        for texts in batches:
-            filled = texts.where(texts.notna(), "").tolist()
-            yield pd.Series(pieces.encode(filled), dtype=object).where(texts.notna().to_numpy(), None)
+        for batch in batches:
+            for at, texts in _blocks(batch.column(1), 1_000_000):
+                ids = pieces.encode([t or "" for t in texts])
+                ids = [None if t is None else x for t, x in zip(texts, ids)]
+                out = [batch.column(0).slice(at, len(texts)), _listed(ids)]
+                if decoded:
+                    out.append(pa.array([None if x is None else pieces.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, ["id", "ids", "decoded"][: len(out)])
 
-    return ids.asNondeterministic()(text)  # else the optimiser may run it once per mention
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
-def decode(ids: Column, name: str) -> Column:
-    """string: the text of each array of ids."""
+def decode(rows: DataFrame, name: str, key: str = "id", ids: str = "ids") -> DataFrame:
+    """(id, text) for every row with an array of ids."""
+    rows = rows.select(col(key).alias("id"), col(ids).cast("array<int>").alias("ids"))
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(SparkFiles.get(name))
-        for arrays in batches:
-            yield pd.Series([None if a is None else pieces.decode(a) for a in arrays], dtype=object)
+        for batch in batches:
+            for at, arrays in _blocks(batch.column(1), 1_000_000):
+                texts = pa.array([None if x is None else pieces.decode(x) for x in arrays], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(arrays)), texts], ["id", "text"])
 
-    return text.asNondeterministic()(ids)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string")
