@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import pieces, simhash
+from evenkeel.llm import pieces, quality, simhash
 from evenkeel.llm.common import table
 
 
@@ -36,8 +36,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the labels call good."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, likelihood ratio and verdict of every document."""
+    docs, rules = table(spark, sf_dir, "documents").select("doc_id", "text"), quality.QualityRules()
+    weights = quality.fit(docs, trusted(spark, sf_dir), rules)
+    return quality.measured(docs, weights, rules).select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pieces": op7_pieces,
     "op9_simhash": op9_simhash,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
