@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import pieces, quality, simhash
+from evenkeel.llm import decontaminate, pieces, quality, secrets, simhash
 from evenkeel.llm.common import table
 
 
@@ -18,6 +18,26 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: those of the patterns counted, all listed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs, secrets.SecretRules()))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(kind) for kind in ("assign", "access", "hex")],
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        count("markov"),
+    )
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     name = pieces.ship(spark, piece_model())
@@ -36,6 +56,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with its best window."""
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontaminate.matches(docs, items, decontaminate.Decontamination()).withColumnRenamed("id", "doc_id")
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the labels call good."""
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -52,7 +78,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secrets": op4_secrets,
     "op7_pieces": op7_pieces,
+    "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
