@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,19 +189,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Decontamination, key:
     return out
 
 
-def _passes(docs, benchmark, rules, key, text, item, item_text) -> Iterator[DataFrame]:
-    rows = keyed(docs, key, text)
+def clean(docs: DataFrame, benchmark: DataFrame, rules: Decontamination, text: str = "text",
+          item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs` that hold no benchmark item, as they were."""
+    for shared, _ in _blocks(benchmark, rules, item, item_text):
+
+        @F.pandas_udf("boolean")
+        def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known = Items(shared.value, rules)
+            for texts in batches:
+                yield pd.Series([not (t and known.matches(t)) for t in texts], dtype=bool)
+
+        docs = docs.where(free(col(text).cast("string")))
+    return docs
+
+
+def _blocks(benchmark: DataFrame, rules: Decontamination, item: str, item_text: str):
+    """The items in blocks of a bounded size, broadcast, with the type of their ids."""
     items = benchmark.select(col(item).alias("item"), col(item_text).cast("string").alias("text")).where("text is not null")
-    kind = items.schema["item"].dataType
     n, chars = items.agg(F.count("text"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // rules.items_per_pass), -(-chars // rules.chars_per_pass))
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        yield _pass(rows, [tuple(r) for r in part.collect()], rules, kind)
+        rows = [tuple(r) for r in part.collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(rows), items.schema["item"].dataType
+
+
+def _passes(docs, benchmark, rules, key, text, item, item_text) -> Iterator[DataFrame]:
+    rows = keyed(docs, key, text)
+    for shared, kind in _blocks(benchmark, rules, item, item_text):
+        yield _pass(rows, shared, rules, kind)
 
 
-def _pass(rows: DataFrame, items: list[tuple], rules: Decontamination, kind) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+def _pass(rows: DataFrame, shared, rules: Decontamination, kind) -> DataFrame:
     name = MATCHES.format(kind=kind.simpleString())
     fields = ("item_id", "first_token", "n_tokens", "start", "end", "bits", "similarity")
 

@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from evenkeel.llm.common import col
+from evenkeel.llm.common import col, free_name
 
 SPACE = "▁"
 _NONE = np.int64(1) << 40
@@ -276,23 +277,25 @@ def _listed(ids: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(starts, pa.array(np.concatenate(flat) if flat else np.array([], np.int32), pa.int32()))
 
 
-def encode(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
-    """(id, ids) for every row, and `decoded`, the text of these ids, if asked for in the same pass."""
-    rows = docs.select(col(key).alias("id"), col(text).cast("string").alias("text"))
+def encode(docs: DataFrame, name: str, keep: Sequence[str] = ("doc_id",), text: str = "text", decoded: bool = False) -> DataFrame:
+    """The columns `keep` and `ids` for every row, and `decoded`, the text of these ids, if asked
+    for in the same pass. The new names get a mark if `keep` has them already."""
+    rows = docs.select(*map(col, keep), col(text).cast("string").alias("_text"))
+    new = [free_name(docs.select(*map(col, keep)), n) for n in ("ids", "decoded")[: 1 + decoded]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(SparkFiles.get(name))
         for batch in batches:
-            for at, texts in _blocks(batch.column(1), 1_000_000):
+            for at, texts in _blocks(batch.columns[-1], 1_000_000):
                 ids = pieces.encode([t or "" for t in texts])
                 ids = [None if t is None else x for t, x in zip(texts, ids)]
-                out = [batch.column(0).slice(at, len(texts)), _listed(ids)]
+                out = [*batch.slice(at, len(texts)).columns[:-1], _listed(ids)]
                 if decoded:
                     out.append(pa.array([None if x is None else pieces.decode(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, ["id", "ids", "decoded"][: len(out)])
+                yield pa.RecordBatch.from_arrays(out, [*keep, *new])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded)
+    schema = StructType([rows.schema[c] for c in keep] + [StructField(new[0], ArrayType(IntegerType()))])
+    return rows.mapInArrow(run, schema.add(new[1], "string") if decoded else schema)
 
 
 def decode(rows: DataFrame, name: str, key: str = "id", ids: str = "ids") -> DataFrame:

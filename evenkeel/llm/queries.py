@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, pieces, quality, secrets, simhash
+from evenkeel.llm import decontaminate, pieces, quality, secrets, simhash, toxicity
 from evenkeel.llm.common import table
 
 
@@ -18,6 +18,20 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt without the held-out third."""
+    rules, docs = toxicity.ToxicityRules(), table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    scored = toxicity.scored(docs, toxicity.fit(docs, labels, rules), rules).withColumnRenamed("id", "doc_id")
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= rules.threshold).cast("int").alias("predicted"),
+    )
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: those of the patterns counted, all listed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,7 +57,7 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = pieces.ship(spark, piece_model())
     encoded = pieces.encode(table(spark, sf_dir, "documents").fillna("", "text"), name, decoded=True)
     return encoded.select(
-        F.col("id").alias("doc_id"),
+        "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -78,6 +92,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_secrets": op4_secrets,
     "op7_pieces": op7_pieces,
     "op8_decontaminate": op8_decontaminate,

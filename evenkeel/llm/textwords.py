@@ -36,16 +36,12 @@ def _wordlike() -> np.ndarray:
 def words(text: str, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, number) of every token of a text, in code points; the number depends on the
     lower-cased token only. Long texts are taken in pieces, cut where a token ends."""
-    if len(text) <= piece:
-        return _words(text)
     parts, at = [], 0
-    while at < len(text):
-        cut = _BREAK.search(text, at + piece)
-        end = cut.start() if cut else len(text)
-        start, stop, number = _words(text[at:end])
-        parts.append((start + at, stop + at, number))
-        at = end
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    for part in _pieces(text, piece):
+        start, end, number = _words(part)
+        parts.append((start + at, end + at, number))
+        at += len(part)
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else _words(text)
 
 
 def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,3 +82,36 @@ def shingles(numbers: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = out * _STEP + numbers[k : k + n]
     return mixed(out)
+
+
+def grams(text: str, size: int, piece: int = 1 << 20) -> np.ndarray:
+    """A number for each run of `size` characters, lower-cased, within tokens that are given a
+    mark at either end."""
+    return np.concatenate([_grams(part, size) for part in _pieces(text, piece)]) if text else np.array([], np.uint64)
+
+
+def _pieces(text: str, piece: int) -> list[str]:
+    out, at = [], 0
+    while at < len(text):
+        cut = _BREAK.search(text, at + piece) if len(text) - at > piece else None
+        end = cut.start() if cut else len(text)
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def _grams(text: str, size: int) -> np.ndarray:
+    alnum, lower = _wordlike()
+    code = np.frombuffer(f" {text} ".encode("utf-32-le"), "<u4")
+    inside = alnum[code]
+    if len(code) < size:
+        return np.array([], np.uint64)
+    code = np.where(inside, lower[code], 0).astype(np.uint64)
+    n = len(code) - size + 1
+    whole = np.ones(n, bool)
+    for k in range(1, size - 1):
+        whole &= inside[k : k + n]
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = out * _STEP + code[k : k + n]
+    return mixed(out[whole])
