@@ -21,11 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import cut, keyed
+from evenkeel.llm.common import col, keyed, landed
 from evenkeel.llm.components import components
 
 _LANES = np.uint64(0x0101010101010101)
 _STEP = 2
+_BLOCK = 16
 _CHUNK = 200_000
 _LEAF = 8
 
@@ -94,51 +95,65 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return rows.mapInArrow(run, f"id {id_type}, fp bigint")
 
 
-def _prefix(fp: str, depth: int):
-    return F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned(fp, 64 - depth)
+def _prefix(depth: int):
+    return F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned("fp", 64 - depth)
 
 
-def _grow(fps: DataFrame, leaf_size: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The leaves' members (fp, depth, prefix), and the children (depth, prefix, leaf) of each level."""
-    rest, members, levels, depth = fps, None, [], 0
+def _grow(fps: DataFrame, leaf_size: int) -> DataFrame:
+    """The nodes (depth, prefix, leaf) of a trie whose leaves hold at most `leaf_size` fingerprints.
+
+    Sizes are counted for `_BLOCK` bits at once; only what is still too large goes on to the next bits."""
+    grown, base, rest = None, 0, fps
     while True:
-        sizes = rest.groupBy(_prefix("fp", depth).alias("prefix")).count()
-        level = cut(sizes.select(F.lit(depth).alias("depth"), "prefix", (F.col("count") <= leaf_size).alias("leaf")))
-        levels.append(level)
-        placed = rest.withColumn("prefix", _prefix("fp", depth)).join(level, "prefix")
-        here = placed.where("leaf").select("fp", "depth", "prefix")
-        members = here if members is None else members.union(here)
-        if level.where("not leaf").isEmpty():
-            return members, levels
-        rest = placed.where("not leaf").select("fp")
-        depth += _STEP
-
-
-def _node_pairs(levels: list[DataFrame], bits: int) -> DataFrame:
+        depths = range(base, base + _BLOCK + 1, _STEP)
+        counts = rest.groupBy(_prefix(base + _BLOCK).alias("low")).count()
+        at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _above("low", base + _BLOCK - d).alias("prefix")) for d in depths]))
+        sizes = landed(counts.select(at.alias("n"), "count").groupBy("n.depth", "n.prefix").agg(F.sum("count").alias("size")), "trie-sizes")
+        parents = sizes.where(f"size > {leaf_size}").select((F.col("depth") + _STEP).alias("depth"), F.col("prefix").alias("up"))
+        below = sizes.withColumn("up", _above("prefix", _STEP)).join(parents, ["depth", "up"])
+        nodes = below.select("depth", "prefix", "size")
+        if base == 0:
+            nodes = nodes.union(sizes.where("depth = 0").select("depth", "prefix", "size"))
+        nodes = nodes.select("depth", "prefix", (F.col("size") <= leaf_size).alias("leaf"))
+        grown = nodes if grown is None else grown.union(nodes)
+        base += _BLOCK
+        large = sizes.where((F.col("depth") == base) & (F.col("size") > leaf_size)).select("prefix")
+        if base == 64 or large.isEmpty():
+            return landed(grown, "trie-nodes")
+        rest = landed(fps.withColumn("prefix", _prefix(base)).join(large, "prefix").select("fp"), "trie-rest")
+
+
+def _above(prefix: str, bits: int):
+    return F.col(prefix) if bits == 0 else F.lit(0).cast("long") if bits == 64 else F.shiftrightunsigned(prefix, bits)
+
+
+def _node_pairs(nodes: DataFrame, deepest: int, bits: int) -> DataFrame:
     """Pairs of leaves (da, pa, db, pb) whose prefixes differ in at most `bits` bits where both reach."""
-    root = levels[0]
-    pairs = root.select(
-        F.col("depth").alias("da"), F.col("prefix").alias("pa"), F.col("leaf").alias("la"),
-        F.col("depth").alias("db"), F.col("prefix").alias("pb"), F.col("leaf").alias("lb"),
-    )
-    done = pairs.where("la and lb")
-    pairs = pairs.where("not (la and lb)")
-    for level in levels[1:]:
-        child = level.withColumn("parent", F.shiftrightunsigned("prefix", _STEP))
+
+    def named(side: str):
+        return [F.col(c).alias(c[0] + side) for c in ("depth", "prefix", "leaf")]
+
+    root = nodes.where("depth = 0")
+    pairs, done = root.select(*named("a"), F.lit(0).alias("db"), F.lit(0).cast("long").alias("pb"), F.col("leaf").alias("lb")), []
+    for depth in range(0, deepest + 1, _STEP):
+        done.append(pairs.where("la and lb").select("da", "pa", "db", "pb"))
+        pairs = pairs.where("not (la and lb)")
+        if depth == deepest:
+            break
         for side in "ab":
-            open_ = pairs.where(f"not l{side}")
-            below = child.select(
-                F.col("parent").alias(f"p{side}"), F.col("depth").alias("_d"), F.col("prefix").alias("_p"), F.col("leaf").alias("_l")
+            child = nodes.where(F.col("depth") == depth + _STEP).select(
+                _above("prefix", _STEP).alias(f"p{side}"), *[F.col(c).alias("_" + c) for c in ("depth", "prefix", "leaf")]
             )
-            grown = open_.join(below, f"p{side}").withColumns({f"d{side}": F.col("_d"), f"p{side}": F.col("_p"), f"l{side}": F.col("_l")})
-            # A side that is a leaf already stays; one that has just been grown isn't taken again.
-            pairs = grown.drop("_d", "_p", "_l").unionByName(pairs.where(f"l{side}"))
-        shorter = [F.expr(f"shiftrightunsigned(p{s}, d{s} - least(da, db))") for s in "ab"]
-        pairs = cut(pairs.where(F.bit_count(shorter[0].bitwiseXOR(shorter[1])) <= bits).where("da <> db or pa <= pb"))
-        done = done.union(pairs.where("la and lb").select(done.columns))
-        pairs = pairs.where("not (la and lb)")
-    # Leaves of different depth are met from both sides.
-    return done.where("da <= db").select("da", "pa", "db", "pb")
+            grown = pairs.where(f"not l{side}").join(child, f"p{side}")
+            grown = grown.withColumns({f"d{side}": F.col("_depth"), f"p{side}": F.col("_prefix"), f"l{side}": F.col("_leaf")})
+            pairs = grown.select(pairs.columns).union(pairs.where(f"l{side}"))
+        short = [F.expr(f"shiftrightunsigned(p{s}, d{s} - least(da, db))") for s in "ab"]
+        near = pairs.where(F.bit_count(short[0].bitwiseXOR(short[1])) <= bits)
+        pairs = landed(near.where("da <> db or pa <= pb"), "trie-pairs")
+    all_ = done[0]
+    for more in done[1:]:
+        all_ = all_.union(more)
+    return all_.where("da <= db")  # leaves of different depth are met from both sides
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray | None, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -244,24 +259,43 @@ def _linked(bits: int):
 def links(fps: DataFrame, bits: int = 4, leaf_size: int = 32_768) -> DataFrame:
     """Edges (u, v) that join exactly the distinct values of `fp` that chains of pairs within
     `bits` bits join: a spanning forest for each pair of leaves."""
-    members, levels = _grow(fps, leaf_size)
-    pairs = cut(_node_pairs(levels, bits).withColumn("pair", F.monotonically_increasing_id()))
+    nodes = _grow(fps, leaf_size)
+    depths = [d for (d,) in nodes.where("leaf").select("depth").distinct().collect()]  # 33 at most
+    pairs = landed(_node_pairs(nodes, max(depths, default=0), bits).withColumn("pair", F.monotonically_increasing_id()), "leaf-pairs")
+    own = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths] or [F.struct(F.lit(0).alias("depth"), _prefix(0).alias("prefix"))]))
+    members = fps.select("fp", own.alias("n")).select("fp", "n.depth", "n.prefix").join(nodes.where("leaf"), ["depth", "prefix"])
     leaves = members.groupBy("depth", "prefix").agg(F.collect_list("fp").alias("fps"))  # at most leaf_size each
     a = pairs.select("pair", F.col("da").alias("depth"), F.col("pa").alias("prefix"))
     b = pairs.where("da <> db or pa <> pb").select("pair", F.col("db").alias("depth"), F.col("pb").alias("prefix"))
     n = max(fps.sparkSession.sparkContext.defaultParallelism, min(pairs.count() // 4, 100_000))
-    sides = a.union(b).join(leaves, ["depth", "prefix"]).select("pair", "fps").repartition(n, "pair")
+    sides = leaves.join(a.union(b), ["depth", "prefix"]).select("pair", "fps").repartition(n, "pair")
     return sides.groupBy("pair").applyInArrow(_linked(bits), "u bigint, v bigint")
 
 
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """(id, fp, component_id) for every row: the least id that links of at most `bits` bits reach."""
-    rows = cut(fingerprints(docs, key, text, words))
-    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = cut(components(links(distinct.select("fp"), bits)))
-    joined = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    linked = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = cut(joined.join(linked, "root").select("fp", "component_id"))
+    rows = landed(fingerprints(docs, key, text, words), "fingerprints")
+    distinct = landed(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"), bits))
+    member = roots.join(distinct.withColumnRenamed("fp", "vertex"), "vertex")
+    linked = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    linked = landed(linked.select(F.col("vertex").alias("fp"), "component_id"), "linked-fingerprints")
+    known = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(known, "fp").select("id", "fp", "component_id")
+
+
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
+    """The rows of `docs` whose id is the least of its group, as they were. Of rows that share an
+    id the least stays; rows without an id stay once each if they are equal in all columns."""
+    found = landed(clusters(docs, key, text, words, bits), "clusters")
+    others = found.where("id <> component_id").select(F.col("id").alias(key))
+    rows = docs.join(others, key, "left_anti")
+    again = landed(found.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias(key)), "repeated-ids")
+    if again.isEmpty():
+        return rows
+    whole = rows.select(F.struct(*map(col, docs.columns)).alias("row"), col(key).alias(key))
+    known = again.where(col(key).isNotNull())
+    repeated = whole.join(known, key, "left_semi").groupBy(key).agg(F.min("row").alias("row"))
+    nameless = whole.where(col(key).isNull()).select("row").distinct()
+    kept = whole.where(col(key).isNotNull()).join(known, key, "left_anti").select("row")
+    return kept.union(repeated.select("row")).union(nameless).select("row.*")
