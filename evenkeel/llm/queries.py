@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, pieces, quality, secrets, simhash, toxicity
-from evenkeel.llm.common import table
+from evenkeel.llm import decontaminate, pieces, quality, secrets, simhash, toxicity, urls, warc
+from evenkeel.llm.common import new_folder, table
 
 
 def piece_model() -> str:
@@ -32,6 +32,28 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, and read back from the archive."""
+    path = new_folder(spark, "archive")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.index(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
+         octet_length(encode(coalesce(html, ''))) AS payload_bytes
+  FROM pages
+), q AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM q
+"""
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: those of the patterns counted, all listed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +74,22 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = urls.UrlRules(
+    (
+        urls.Rule("block", "net", "/"),
+        urls.Rule("allow", "example.net", "/en/"),
+        urls.Rule("block", "example.com", "/de/"),
+        urls.Rule("allow", "org", "/fr/"),
+    )
+)
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    found = urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     name = pieces.ship(spark, piece_model())
@@ -93,10 +131,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_warc": op2_warc,
     "op4_secrets": op4_secrets,
+    "op6_urls": op6_urls,
     "op7_pieces": op7_pieces,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": OP2_SQL,
+}
