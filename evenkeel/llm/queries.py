@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, pieces, quality, secrets, simhash, toxicity, urls, warc
+from evenkeel.llm import decontaminate, pieces, quality, secrets, sharding, simhash, toxicity, urls, warc
 from evenkeel.llm.common import new_folder, table
 
 
@@ -54,6 +54,34 @@ FROM q
 """
 
 
+SHARDS = sharding.ShardRules(limit=1 << 20)
+
+
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.assigned(table(spark, sf_dir, "documents"), SHARDS).withColumnRenamed("id", "doc_id")
+
+
+# Ids are unique in the given tables, so that no shard needs the second pseudo-key.
+OP3_SQL = f"""
+WITH d AS (
+  SELECT doc_id, octet_length(encode(text)) AS bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS key
+  FROM documents
+), each AS (
+  SELECT doc_id, bytes, depth, key >> (60 - depth) AS prefix FROM d, (SELECT unnest(range(0, 31)) AS depth)
+), sizes AS (
+  SELECT depth, prefix, sum(bytes) AS shard_bytes, count(*) AS shard_rows FROM each GROUP BY depth, prefix
+), fit AS (
+  SELECT e.doc_id, e.depth, e.prefix, s.shard_bytes, s.shard_rows,
+         row_number() OVER (PARTITION BY e.doc_id ORDER BY e.depth) AS k
+  FROM each e JOIN sizes s USING (depth, prefix) WHERE s.shard_bytes <= {SHARDS.limit} OR s.shard_rows = 1
+)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 60, '0'), depth) END AS shard,
+       CAST(depth AS INTEGER) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_rows
+FROM fit WHERE k = 1
+"""
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: those of the patterns counted, all listed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -132,6 +160,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
+    "op3_shards": op3_shards,
     "op4_secrets": op4_secrets,
     "op6_urls": op6_urls,
     "op7_pieces": op7_pieces,
@@ -141,4 +170,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_warc": OP2_SQL,
+    "op3_shards": OP3_SQL,
 }
