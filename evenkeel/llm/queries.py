@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, pieces, quality, secrets, sharding, simhash, toxicity, urls, warc
+from evenkeel.llm import decontaminate, licenses, pieces, quality, secrets, sharding, simhash, toxicity, urls, warc
 from evenkeel.llm.common import new_folder, table
 
 
@@ -102,6 +102,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that names a licence, with its family."""
+    docs, rules = table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.LicenseRules()
+    return licenses.scan(docs, licenses.fit(docs, rules), rules).withColumnRenamed("id", "doc_id")
+
+
 URL_RULES = urls.UrlRules(
     (
         urls.Rule("block", "net", "/"),
@@ -162,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_shards": op3_shards,
     "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
     "op6_urls": op6_urls,
     "op7_pieces": op7_pieces,
     "op8_decontaminate": op8_decontaminate,
