@@ -61,6 +61,10 @@ class Dialect:
     def literal(self, value: Column, dtype: T.DataType) -> Column:
         raise NotImplementedError
 
+    def lacks_literal(self, value: Column, dtype: T.DataType) -> Column | None:
+        """Whether the engine can't store the value at all; None if it stores all of the type."""
+        return None
+
     # Statements both dialects share -------------------------------------------
     def key_clause(self, key: Column) -> Column:
         raise NotImplementedError
@@ -100,6 +104,11 @@ class SqlServer(Dialect):
     def literal(self, value: Column, dtype: T.DataType) -> Column:
         return literals.mssql_literal(value, dtype)
 
+    def lacks_literal(self, value: Column, dtype: T.DataType) -> Column | None:
+        if isinstance(dtype, (T.DoubleType, T.FloatType)):
+            return F.coalesce(literals.not_finite(value), F.lit(False))
+        return None
+
     def script_start(self, use_transaction: bool) -> list[str]:
         lines = ["", "SET XACT_ABORT ON;", "SET NOCOUNT ON;"]
         return lines + (["BEGIN TRANSACTION;", "GO"] if use_transaction else [])

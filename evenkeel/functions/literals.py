@@ -12,7 +12,7 @@ _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 def float_text(value: Column) -> Column:
     """Shortest round-trip text: plain from 0.0001 to below 1E+15, else with a signed
-    exponent of at least two digits. NaN and infinities have no literal and give NULL."""
+    exponent of at least two digits. NaN and infinities give null: the dialects say what becomes of them."""
     text = value.cast("string")
     sign = F.when(text.startswith("-"), "-").otherwise("")
     body = F.regexp_replace(text, "^-", "")
@@ -24,7 +24,7 @@ def float_text(value: Column) -> Column:
         F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits)))
     )
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    rest = F.substring(digits, 2, 1000)
+    rest = F.substring(digits, F.lit(2), F.length(digits))
     exponent = F.concat(
         F.substring(digits, 1, 1),
         F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""),
@@ -36,8 +36,7 @@ def float_text(value: Column) -> Column:
     scaled = F.when((power >= 0) & (power < 15), whole).when((power < 0) & (power >= -4), small).otherwise(exponent)
     plain = F.regexp_replace(body, r"\.0$", "")
     shown = F.when(F.instr(body, "E") > 0, scaled).otherwise(plain)
-    finite = ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
-    return F.when(finite, F.concat(sign, shown))
+    return F.when(~not_finite(value), F.concat(sign, shown))
 
 
 def _text(value: Column, prefix: str) -> Column:
@@ -54,6 +53,16 @@ def _utc(value: Column) -> Column:
     return F.expr(_EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
+def not_finite(value: Column) -> Column:
+    return F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+
+
+def _day_time(value: Column) -> Column:
+    """A `time` value with six digits of its second."""
+    text = value.cast("string")
+    return F.concat(F.substring(text, 1, 8), F.lit("."), F.rpad(F.substring(text, 10, 6), 6, "0"))
+
+
 def _time_of_day(value: Column) -> Column:
     return F.date_format(F.expr(_EPOCH) + F.abs(value), "HH:mm:ss.SSSSSS")
 
@@ -78,6 +87,8 @@ def mssql_literal(value: Column, dtype: T.DataType) -> Column:
         out = _quoted(F.date_format(value, "yyyy-MM-dd"))
     elif isinstance(dtype, T.DayTimeIntervalType):
         out = _quoted(F.concat(_time_of_day(value), F.lit("0")))
+    elif isinstance(dtype, T.TimeType):
+        out = _quoted(F.concat(_day_time(value), F.lit("0")))
     elif isinstance(dtype, T.BinaryType):
         out = F.concat(F.lit("0x"), F.hex(value))
     else:
@@ -94,7 +105,8 @@ def pg_literal(value: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.DecimalType):
         out = value.cast("string")  # plain digits in ANSI mode, the default
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        out = float_text(value)
+        words = F.when(F.isnan(value), "'NaN'").when(value > 0, "'Infinity'").otherwise("'-Infinity'")
+        out = F.when(not_finite(value), words).otherwise(float_text(value))
     elif isinstance(dtype, T.TimestampNTZType):
         out = _quoted(F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     elif isinstance(dtype, T.TimestampType):
@@ -103,6 +115,8 @@ def pg_literal(value: Column, dtype: T.DataType) -> Column:
         out = _quoted(F.date_format(value, "yyyy-MM-dd"))
     elif isinstance(dtype, T.DayTimeIntervalType):
         out = _quoted(_time_of_day(value))
+    elif isinstance(dtype, T.TimeType):
+        out = _quoted(_day_time(value))
     elif isinstance(dtype, T.BinaryType):
         out = F.concat(F.lit("'\\x"), F.hex(value), F.lit("'"))
     else:

@@ -34,13 +34,23 @@ def _quoted(table: TableRef, dialect: Dialect) -> str:
 
 
 def _where(diff: RowDiff, dialect: Dialect) -> Column:
-    return F.concat_ws(
-        " AND ",
-        *[
-            F.concat(F.lit(dialect.quote_text(k) + " = "), dialect.literal(F.col(f"`{k}`"), diff.types[k]))
-            for k in diff.keys
-        ],
-    )
+    def one(k: str) -> Column:
+        name, value = dialect.quote_text(k), F.col(f"`{k}`")
+        equal = F.concat(F.lit(name + " = "), dialect.literal(value, diff.types[k]))
+        return F.when(value.isNull(), F.lit(name + " IS NULL")).otherwise(equal) if diff.options.null_safe_keys else equal
+
+    return F.concat_ws(" AND ", *[one(k) for k in diff.keys])
+
+
+def _unstorable(diff: RowDiff, dialect: Dialect) -> Column:
+    """The names of the columns whose value in the source the target's engine can't store."""
+    names = []
+    for c in diff.values:
+        lacks = dialect.lacks_literal(F.col("s")[c], diff.types[c])
+        if lacks is not None:
+            names.append(F.when((F.col("status") == "missing") & lacks, F.lit(c)))
+            names.append(F.when((F.col("status") == "different") & F.array_contains("changed", c) & lacks, F.lit(c)))
+    return F.concat_ws(", ", *names) if names else F.lit("")
 
 
 def insert_text(diff: RowDiff, table: TableRef, dialect: Dialect) -> Column:
@@ -86,6 +96,11 @@ def statements(diff: RowDiff, table: TableRef, dialect: Dialect) -> DataFrame:
         .when(status == "different", update_text(diff, table, dialect) if diff.values else F.lit(None))
         .otherwise(delete_text(diff, table, dialect))
     )
+    unstorable = _unstorable(diff, dialect)
+    warning = F.concat(
+        F.lit(f"-- WARNING: {table.full_name}: {dialect.name} has no value for "), unstorable, F.lit(" of the row with "), _where(diff, dialect)
+    )
+    statement = F.when(unstorable != "", warning).otherwise(statement)
     return diff.df.filter(status.isin(*wanted)).select(
         F.when(status == "extra", _DELETE).when(status == "different", _UPDATE).otherwise(_INSERT).alias("op_ord"),
         F.when(status == "extra", "delete").when(status == "different", "update").otherwise("insert").alias("op"),

@@ -4,105 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_FAN_OUT = 4096
-_MAX_PIECES = 512
-_SAMPLES_PER_PIECE = 32
-
+from evenkeel.functions.compare import comparable, has_map
+from evenkeel.plans.lineage import cut
 
-def _cond(left: str, right: str, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return cond
+_FAN_OUT = 4096
 
 
-def number_occurrences(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    hot_key_rows: int = 1_000_000,
-    occ: str = "occ",
-) -> DataFrame:
-    """Add `occ`: 1, 2, … within each key, in the order of `order_by`.
+def number_occurrences(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], occ: str = "occ") -> DataFrame:
+    """Add `occ`: 1, 2, … within each key, in the order of `order_by`. `df` must hold only these columns.
 
-    `df` must hold only the columns in `keys` and `order_by`. Ordinary keys are numbered
-    by one window. Keys with more than `hot_key_rows` rows, of which there are at most
-    rows / hot_key_rows, take another way: equal rows are counted before the shuffle, the
-    rest is cut into ordered pieces that are numbered apart and then shifted.
+    Equal rows are counted before the shuffle. The rest is dealt out by ranges of (key, values), so that a key
+    of any size spreads over as many parts as it needs; each part is numbered apart, and the one key
+    that a part may share with the part before it is shifted by a small table of totals. The
+    ranges are checkpointed, as two uses of a range shuffle need not agree on its bounds.
     """
-    keys, order_by = list(keys), list(order_by)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_key_rows)
-    )
-    # Bounded by rows / hot_key_rows, see above.
-    hot_keys = F.broadcast(hot)
-    usual = df.alias("d").join(hot_keys.alias("h"), _cond("d", "h", keys), "left_anti")
-    window = Window.partitionBy(*keys).orderBy(*order_by)
-    usual = usual.select(*keys, *order_by, F.row_number().over(window).cast("long").alias(occ))
-    heavy = df.alias("d").join(hot_keys.alias("h"), _cond("d", "h", keys), "inner")
-    heavy = heavy.select("d.*", F.col("h._n").alias("_n"))
-    return usual.unionByName(_number_hot(heavy, keys, order_by, hot_key_rows, occ))
-
-
-def _number_hot(
-    df: DataFrame, keys: list[str], order_by: list[str], hot_key_rows: int, occ: str
-) -> DataFrame:
-    rank = F.struct(*[F.col(c) for c in order_by])
+    keys = list(keys)
+    maps = [c for c in order_by if has_map(df.schema[c].dataType)]
+    form = {c: f"_form_{c}" for c in maps}
+    df = df.withColumns({form[c]: comparable(F.col(f"`{c}`"), df.schema[c].dataType) for c in maps}) if maps else df
+    order = [form.get(c, c) for c in order_by]
     # Equal rows are interchangeable: one row with a count stands for all of them.
-    runs = df.groupBy(*keys, *order_by).agg(F.count(F.lit(1)).alias("_run"), F.max("_n").alias("_n"))
-    pieces = F.least(F.lit(_MAX_PIECES), F.ceil(F.col("_n") / F.lit(hot_key_rows)))
-    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / (pieces * _SAMPLES_PER_PIECE)))
-    sampled = runs.withColumn("_pieces", pieces).filter(
-        F.pmod(F.xxhash64(*order_by), stride) == 0
-    )
-    # About _MAX_PIECES * _SAMPLES_PER_PIECE sampled rows per key at the most. The sample
-    # only places the cuts; any cuts give the same numbers.
-    cuts = sampled.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(rank)).alias("_sample"), F.max("_pieces").alias("_pieces")
-    )
-    step = F.greatest(F.lit(1), F.floor(F.size("_sample") / F.col("_pieces"))).cast("int")
-    cuts = cuts.select(
-        *keys, F.filter("_sample", lambda v, i: F.pmod(i + 1, step) == 0).alias("_cuts")
-    )
-    placed = runs.alias("r").join(F.broadcast(cuts).alias("c"), _cond("r", "c", keys), "left")
-    placed = placed.select(
-        *[F.col(f"r.{c}") for c in keys + order_by + ["_run"]],
-        F.coalesce(F.size(F.filter(F.col("c._cuts"), lambda cut: cut <= F.struct(*[F.col(f"r.{c}") for c in order_by]))), F.lit(0)).alias("_piece"),
-    )
-    inside = Window.partitionBy(*keys, "_piece").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("_before", F.coalesce(F.sum("_run").over(inside), F.lit(0)))
-    # One row per piece, so at most _MAX_PIECES rows per key.
-    totals = placed.groupBy(*keys, "_piece").agg(F.sum("_run").alias("_total"))
-    across = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_piece", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"))
-    numbered = placed.alias("p").join(totals.alias("o"), _cond("p", "o", keys + ["_piece"]), "inner")
-    numbered = numbered.select(
-        *[F.col(f"p.{c}") for c in keys + order_by + ["_run"]],
-        (F.col("p._before") + F.col("o._offset")).alias("_first"),
-    )
-    return _unfold(numbered, keys, order_by, occ)
-
-
-def _unfold(runs: DataFrame, keys: list[str], order_by: list[str], occ: str) -> DataFrame:
-    """One row per occurrence again. A long run is cut in chunks that spread over tasks."""
-    kept = [F.col(c) for c in keys + order_by]
-    big, mid = _FAN_OUT * _FAN_OUT, _FAN_OUT
-
-    def chunk(df: DataFrame, size: int) -> DataFrame:
-        part = F.explode(F.sequence(F.lit(0), F.floor((F.col("_run") - 1) / size)))
-        cut = df.select(*kept, "_run", "_first", part.alias("_part"))
-        return cut.select(
-            *kept,
-            F.least(F.col("_run") - F.col("_part") * size, F.lit(size)).alias("_run"),
-            (F.col("_first") + F.col("_part") * size).alias("_first"),
-        )
-
-    spread = chunk(runs, big).repartition("_first", *keys)
-    spread = chunk(spread, mid).repartition("_first", *keys)
-    places = F.sequence((F.col("_first") + 1).cast("long"), (F.col("_first") + F.col("_run")).cast("long"))
-    return spread.select(*kept, F.explode(places).alias(occ))
+    runs = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("_run"), *[F.first(c).alias(c) for c in maps])
+    ranged = cut(runs.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_part").orderBy(*keys, *order).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("_at", F.coalesce(F.sum("_run").over(before), F.lit(0)))
+    placed = placed.withColumn("_first", F.col("_at") - F.first("_at").over(so_far))
+    # A part goes on with at most one key of an earlier part: no more rows than parts.
+    totals = ranged.groupBy("_part", *keys).agg(F.sum("_run").alias("_total"))
+    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.withColumn("_offset", F.sum("_total").over(across)).where("_offset > 0")
+    shift = shift.select("_part", F.struct(*keys).alias("_key"), "_offset")
+    joined = placed.join(shift, "_part", "left")
+    moved = F.when(F.struct(*keys).eqNullSafe(F.col("_key")), F.col("_offset")).otherwise(0)
+    return _unfold(joined.withColumn("_first", F.col("_first") + moved), [*keys, *order_by], occ)
+
+
+def _unfold(runs: DataFrame, kept: list[str], occ: str) -> DataFrame:
+    """One row per occurrence again. Long runs are cut into chunks of a bounded size first."""
+    columns = [F.col(f"`{c}`") for c in kept]
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("_run") - 1) / _FAN_OUT)))
+    chunks = runs.select(*columns, "_run", "_first", part.alias("_chunk"))
+    start = F.col("_first") + F.col("_chunk") * _FAN_OUT
+    size = F.least(F.col("_run") - F.col("_chunk") * _FAN_OUT, F.lit(_FAN_OUT))
+    places = F.sequence((start + 1).cast("long"), (start + size).cast("long"))
+    return chunks.select(*columns, F.explode(places).alias(occ))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenkeel.functions.compare import common_type, comparable, exact_text
 from evenkeel.operators.occurrences import number_occurrences
 from evenkeel.options import RowDiffOptions
 
@@ -23,13 +24,15 @@ KEY_NOT_IN_TARGET = "Primary key columns are missing in the target — sync the
 
 @dataclass(frozen=True)
 class ColumnPlan:
-    """Which columns identify a row and which are compared, with their names per side."""
+    """Which columns identify a row and which are compared, with their names per side. `carried`
+    columns are computed ones that both sides have: not compared, but the source's value counts."""
 
     keys: tuple[str, ...]
     values: tuple[str, ...]
     target_name: dict[str, str] = field(default_factory=dict)
     target_only: tuple[str, ...] = ()
     error: str | None = None
+    carried: tuple[str, ...] = ()
 
 
 def plan_columns(
@@ -50,79 +53,29 @@ def plan_columns(
     values = tuple(
         f.name for f in source.fields if f.name.upper() not in skip and f.name.upper() in target_names
     )
-    shared = {v.upper() for v in key_names + values}
+    computed_names = {c.upper() for c in computed} - {k.upper() for k in keys}
+    carried = tuple(f.name for f in source.fields if f.name.upper() in computed_names & set(target_names))
+    shared = {v.upper() for v in key_names + values + carried}
     return ColumnPlan(
         key_names,
         values,
-        {c: target_names[c.upper()] for c in key_names + values},
+        {c: target_names[c.upper()] for c in key_names + values + carried},
         tuple(f.name for f in target.fields if f.name.upper() not in shared),
-    )
-
-
-_INTEGRAL = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
-
-
-def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
-    """The type both sides are compared in. Text is the last resort."""
-    if a == b:
-        return a
-    ints = [t for t in (a, b) if t in _INTEGRAL]
-    if len(ints) == 2:
-        return max(ints, key=_INTEGRAL.index)
-    floats = [t for t in (a, b) if isinstance(t, (T.FloatType, T.DoubleType))]
-    numbers = ints + floats + [t for t in (a, b) if isinstance(t, T.DecimalType)]
-    if len(numbers) == 2:
-        if floats:
-            return T.DoubleType()
-        decimals = [t if isinstance(t, T.DecimalType) else T.DecimalType(20, 0) for t in (a, b)]
-        scale = max(d.scale for d in decimals)
-        whole = max(d.precision - d.scale for d in decimals)
-        return T.DecimalType(min(38, whole + scale), scale)
-    times = (T.DateType, T.TimestampType, T.TimestampNTZType)
-    if isinstance(a, times) and isinstance(b, times):
-        both_local = not any(isinstance(t, T.TimestampType) for t in (a, b))
-        return T.TimestampNTZType() if both_local else T.TimestampType()
-    if isinstance(a, (T.ArrayType, T.StructType, T.MapType)) and type(a) is type(b):
-        return a
-    return T.StringType()
-
-
-def _has_map(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.MapType):
-        return True
-    if isinstance(dtype, T.ArrayType):
-        return _has_map(dtype.elementType)
-    return isinstance(dtype, T.StructType) and any(_has_map(f.dataType) for f in dtype.fields)
-
-
-def comparable(value: Column, dtype: T.DataType) -> Column:
-    """A form that `<=>` accepts: maps become sorted entries, at any depth."""
-    if not _has_map(dtype):
-        return value
-    if isinstance(dtype, T.MapType):
-        entries = F.transform(
-            F.map_entries(value),
-            lambda e: F.struct(
-                comparable(e["key"], dtype.keyType).alias("key"), comparable(e["value"], dtype.valueType).alias("value")
-            ),
-        )
-        return F.array_sort(entries)
-    if isinstance(dtype, T.ArrayType):
-        return F.transform(value, lambda x: comparable(x, dtype.elementType))
-    return F.when(
-        value.isNotNull(), F.struct(*[comparable(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
+        carried=carried,
     )
 
 
 @dataclass(frozen=True)
 class RowDiff:
-    """`df` has the keys (and `occ` if rows were paired), `status`, `changed`, `s` and `t`."""
+    """`df` has the keys (and `occ` if rows were paired), `status`, `changed`, `s` and `t`.
+    `s` has the carried columns too."""
 
     df: DataFrame
     keys: tuple[str, ...]
     values: tuple[str, ...]
     types: dict[str, T.DataType]
     options: RowDiffOptions
+    plan: ColumnPlan | None = None
 
     @property
     def key_columns(self) -> list[str]:
@@ -143,24 +96,42 @@ def _sides(
     source: DataFrame, target: DataFrame, plan: ColumnPlan, options: RowDiffOptions
 ) -> tuple[DataFrame, DataFrame, dict[str, T.DataType]]:
     """Both sides with the same names and types, keys and compared columns only."""
-    types = {
-        c: common_type(source.schema[c].dataType, target.schema[plan.target_name[c]].dataType)
-        for c in plan.keys + plan.values
-    }
-
-    def project(df: DataFrame, name: dict[str, str]) -> DataFrame:
+    types, texts = {}, set()
+    for c in plan.keys + plan.values:
+        a, b = source.schema[c].dataType, target.schema[plan.target_name[c]].dataType
+        types[c] = common_type(a, b)
+        if types[c] is None:
+            # No type holds both exactly: keys become text, values keep the source's type beside a text.
+            types[c] = T.StringType() if c in plan.keys else a
+            texts.add(c)
+
+    def project(df: DataFrame, name: dict[str, str], own: bool) -> DataFrame:
         out = []
         for c in plan.keys + plan.values:
+            dtype = df.schema[name.get(c, c)].dataType
             col = F.col(f"`{name.get(c, c)}`")
-            if df.schema[name.get(c, c)].dataType != types[c]:
+            if c in texts and c in plan.values:
+                out.append(exact_text(col, dtype).alias(_FORM + c))
+                col = col.try_cast(types[c]) if dtype != types[c] else col
+            elif c in texts:
+                col = exact_text(col, dtype)
+            elif dtype != types[c]:
                 col = col.cast(types[c])
             out.append(col.alias(c))
+        if own:
+            out += [F.col(f"`{c}`") for c in plan.carried]
         side = df.select(*out)
         if options.pair_duplicates:
-            side = number_occurrences(side, plan.keys, plan.values, options.hot_key_rows)
+            # Compared columns decide first, so that positions are those of the compare.
+            order = [f for c in plan.values for f in ([_FORM + c, c] if c in texts else [c])]
+            side = number_occurrences(side, plan.keys, order + (list(plan.carried) if own else []))
         return side
 
-    return project(source, {}), project(target, plan.target_name), types
+    return project(source, {}, True), project(target, plan.target_name, False), types
+
+
+#: Prefix of the text in which a column is compared.
+_FORM = "_form_of_"
 
 
 def _key_condition(keys: Sequence[str], null_safe: bool, left: str = "l", right: str = "r") -> Column:
@@ -190,13 +161,13 @@ def diff_rows(
     in_source, in_target = F.col("l._in").isNotNull(), F.col("r._in").isNotNull()
 
     def differs(c: str) -> Column:
-        a, b = (comparable(F.col(f"{side}.`{c}`"), types[c]) for side in "lr")
-        return ~a.eqNullSafe(b)
+        return _differs(left, c, types[c])
 
     def packed(side: str, present: Column) -> Column:
-        if not plan.values:
+        columns = plan.values + (plan.carried if side == "l" else ())
+        if not columns:
             return F.when(present, F.struct(F.lit(True).alias("present")))
-        return F.when(present, F.struct(*[F.col(f"{side}.`{c}`").alias(c) for c in plan.values]))
+        return F.when(present, F.struct(*[F.col(f"{side}.`{c}`").alias(c) for c in columns]))
 
     any_change = F.lit(False)
     for c in plan.values:
@@ -217,7 +188,16 @@ def diff_rows(
         packed("l", in_source).alias("s"),
         packed("r", in_target).alias("t"),
     )
-    return RowDiff(df, plan.keys, plan.values, types, options)
+    return RowDiff(df, plan.keys, plan.values, types, options, plan)
+
+
+def _differs(side: DataFrame, c: str, dtype: T.DataType) -> Column:
+    """Whether column `c` of the joined sides l and r differs."""
+    if _FORM + c in side.columns:
+        a, b = (F.col(f"{s}.`{_FORM + c}`") for s in "lr")
+    else:
+        a, b = (comparable(F.col(f"{s}.`{c}`"), dtype) for s in "lr")
+    return ~a.eqNullSafe(b)
 
 
 def row_status(diff: RowDiff) -> DataFrame:
@@ -289,7 +269,8 @@ def _one_sided(
     if swap:
         left, right = right, left
     on = list(plan.keys) + (["occ"] if options.pair_duplicates else [])
-    return left.alias("l").join(right.select(*on).alias("r"), _key_condition(on, options.null_safe_keys), how)
+    shown = left.select(*[c for c in left.columns if not c.startswith(_FORM)])
+    return shown.alias("l").join(right.select(*on).alias("r"), _key_condition(on, options.null_safe_keys), how)
 
 
 def missing_rows(source, target, keys, options: RowDiffOptions = RowDiffOptions()) -> DataFrame:
@@ -315,8 +296,7 @@ def matched_rows(source, target, keys, options: RowDiffOptions = RowDiffOptions(
     joined = left.alias("l").join(right.alias("r"), _key_condition(on, options.null_safe_keys), "inner")
     different = F.lit(False)
     for c in plan.values:
-        a, b = (comparable(F.col(f"{side}.`{c}`"), types[c]) for side in "lr")
-        different = different | ~a.eqNullSafe(b)
+        different = different | _differs(left, c, types[c])
     return joined.select(
         *[F.col(f"l.`{k}`").alias(k) for k in on],
         *[F.col(f"l.`{c}`").alias(f"source_{c}") for c in plan.values],
@@ -345,43 +325,52 @@ def apply_changes(
     options: RowDiffOptions = RowDiffOptions(),
     computed: Iterable[str] = (),
 ) -> DataFrame:
-    """The target as it is after the sync, in the target's own columns and types.
-
-    With deletes the rows are those of the source, so the target is read only for columns
-    the source lacks, and not at all if there are none. Without deletes its extra rows
-    are added. Write the result to a new place, never over the table being read.
-    """
-    plan = _require(plan_columns(source.schema, target.schema, keys, computed))
-    to_source = {t: s for s, t in plan.target_name.items()}
-    on = list(plan.keys) + (["occ"] if options.pair_duplicates else [])
-    left, right, _ = _sides(source, target, plan, options)
-
-    def output(shared: str, own: str | None) -> list[Column]:
-        cols = []
-        for f in target.schema.fields:
-            if f.name in to_source:
-                cols.append(F.col(f"{shared}.`{to_source[f.name]}`").cast(f.dataType).alias(f.name))
-            elif own is None:
-                cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-            else:
-                cols.append(F.col(f"{own}.`{f.name}`").alias(f.name))
-        return cols
-
-    kept = target.select(
-        *[F.col(f"`{plan.target_name[c]}`").alias(c) for c in plan.keys + plan.values],
-        *[F.col(f"`{c}`") for c in plan.target_only],
-    )
+    """The target as it is after the sync, in the target's own columns and types: the change feed
+    of the compare, applied to the target. Write the result to a new place, never over the table being read."""
+    diff = diff_rows(source, target, keys, options, computed)
+    return apply_feed(target, change_feed(diff), diff)
+
+
+def apply_feed(target: DataFrame, feed: DataFrame, diff: RowDiff) -> DataFrame:
+    """`target` after the changes in `feed`, which is the change feed of `diff` or a landed copy of it.
+
+    Rows that the feed doesn't mention stay as they are, in all columns. Inserted and updated rows take
+    the source's value in every column that both sides have, computed ones included; columns that
+    only the target has keep their value, and are null in inserted rows."""
+    plan, options = diff.plan, diff.options
+    on, to_source = diff.key_columns, {t: s for s, t in plan.target_name.items()}
+    # Keys in the type of the compare, beside the target's own columns.
+    key = {k: f"_key_{k}" for k in on}
+    rows = target.withColumns({key[k]: _form(target, plan.target_name[k], diff.types[k]) for k in plan.keys})
     if options.pair_duplicates:
-        # Compared columns decide the order, so positions are those of the compare.
-        order = list(plan.values) + list(plan.target_only)
-        kept = number_occurrences(kept, plan.keys, order, options.hot_key_rows)
-    cond = _key_condition(on, options.null_safe_keys)
-    if plan.target_only:
-        own = kept.select(*on, *[F.col(f"`{c}`") for c in plan.target_only])
-        synced = left.alias("l").join(own.alias("r"), cond, "left").select(*output("l", "r"))
-    else:
-        synced = left.alias("l").select(*output("l", None))
-    if options.include_deletes:
-        return synced
-    extra = kept.alias("l").join(left.select(*on).alias("r"), cond, "left_anti")
-    return synced.unionByName(extra.alias("l").select(*output("l", "l")))
+        # The positions that the compare gave; what it didn't compare decides last.
+        forms = {f"_value_{c}": _form(target, plan.target_name[c], diff.types[c]) for c in plan.values}
+        rows = number_occurrences(rows.withColumns(forms), [key[k] for k in plan.keys], [*forms, *target.columns], key["occ"])
+    rows = rows.withColumn("_in", F.lit(True))
+    cond = F.lit(True)
+    for k in on:
+        a, b = F.col(f"t.`{key[k]}`"), F.col(f"f.`{k}`")
+        cond = cond & (a.eqNullSafe(b) if options.null_safe_keys and k != "occ" else a == b)
+    joined = rows.alias("t").join(feed.alias("f"), cond, "full_outer")
+    joined = joined.where(F.col("f.op").isNull() | (F.col("f.op") != "delete"))
+    written, out = F.col("f.op").isNotNull(), []
+    for f in target.schema.fields:
+        stays, name = F.col(f"t.`{f.name}`"), to_source.get(f.name)
+        if name is None:
+            value = stays
+        elif name in plan.keys:
+            value = F.when(F.col("t._in").isNull(), F.col(f"f.`{name}`").cast(f.dataType)).otherwise(stays)
+        else:
+            value = F.when(written, F.col("f.after")[name].cast(f.dataType)).otherwise(stays)
+        out.append(value.alias(f.name))
+    return joined.select(*out)
+
+
+def _form(rows: DataFrame, name: str, dtype: T.DataType) -> Column:
+    """A column as `_sides` compares it."""
+    own, col = rows.schema[name].dataType, F.col(f"`{name}`")
+    if own == dtype:
+        return col
+    if isinstance(own, T.NumericType) and (isinstance(dtype, T.StringType) or common_type(own, dtype) is None):
+        return exact_text(col, own)
+    return col.cast(dtype)

@@ -29,8 +29,6 @@ class RowDiffOptions:
     # Pair rows that share a key by their position in value order. Needed only where
     # the key is not unique on both sides.
     pair_duplicates: bool = False
-    # A key with more rows than this is numbered in pieces instead of in one task.
-    hot_key_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)

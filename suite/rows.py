@@ -247,6 +247,72 @@ ORACLES["apply_sync_keep_extra"] = oracle(
 )
 
 
+@query("apply_feed")
+def _(spark, sf):
+    """The target of orders after its change feed."""
+    source, target = orders_pair(spark, sf)
+    diff = rowdiff.diff_rows(source, target, ["o_orderkey"])
+    return rowdiff.apply_feed(target, rowdiff.change_feed(diff), diff)
+
+
+ORACLES["apply_feed"] = oracle("select o_orderkey, " + ", ".join(_ORDER_COLS) + " from orders")
+
+# A column computed from another one. Its values in the target are those of the target's own rows.
+recipe("customer_c", "select c_custkey, c_acctbal, c_acctbal * 2 as twice from {customer}")
+recipe(
+    "customer_ct",
+    """
+select c_custkey, case when c_custkey % 10 = 3 then c_acctbal + 1 else c_acctbal end as c_acctbal,
+       case when c_custkey % 10 = 3 then (c_acctbal + 1) * 2 else c_acctbal * 2 end as twice
+from {customer} where c_custkey % 8 <> 0
+""",
+)
+
+
+@query("apply_computed")
+def _(spark, sf):
+    source, target = load(spark, sf, "customer_c"), load(spark, sf, "customer_ct")
+    return rowdiff.apply_changes(source, target, ["c_custkey"], computed=["twice"])
+
+
+ORACLES["apply_computed"] = oracle("select * from customer_c")
+
+# Types between which no type holds all values: integers, decimals and doubles, beyond 2^53 too.
+recipe(
+    "typed_s",
+    """
+select o_orderkey as k, o_orderkey + 9007199254740992 as whole, cast(o_orderkey as decimal(38, 0)) as wide,
+       cast(o_orderkey as decimal(12, 2)) as narrow
+from {orders}
+""",
+)
+recipe(
+    "typed_t",
+    """
+select o_orderkey as k, cast(o_orderkey + 9007199254740992 as double) as whole,
+       cast(o_orderkey as decimal(38, 18)) + cast(case when o_orderkey % 5 = 0 then 0.5 else 0 end as decimal(38, 18)) as wide,
+       cast(o_orderkey as double) + case when o_orderkey % 7 = 0 then 0.25 else 0 end as narrow
+from {orders}
+""",
+)
+
+
+@query("row_status_types")
+def _(spark, sf):
+    diff = rowdiff.diff_rows(load(spark, sf, "typed_s"), load(spark, sf, "typed_t"), ["k"])
+    return diff.df.select("k", "status", F.array_join("changed", ",").alias("changed"))
+
+
+# A long plus 2^53 is a double exactly if it is even.
+ORACLES["row_status_types"] = oracle(
+    """
+select k, case when odd or half or part then 'different' else 'equal' end as status,
+       concat_ws(',', case when odd then 'whole' end, case when half then 'wide' end, case when part then 'narrow' end) as changed
+from (select o_orderkey as k, o_orderkey % 2 = 1 as odd, o_orderkey % 5 = 0 as half, o_orderkey % 7 = 0 as part from orders)
+"""
+)
+
+
 @query("roundtrip_zero")
 def _(spark, sf):
     """Compare again after the sync, for two tables: nothing may be left to change."""
@@ -280,62 +346,55 @@ ORACLES["row_status_composite"] = oracle(
 )
 
 
+_LINE_KEYS = ["l_orderkey", "l_linenumber"]
+
+
+#: All columns of lineitem but its keys, in table order, which is the order of the pairing.
+_LINE_VALUES = (
+    "l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
+).split()
+
+
 @query("row_status_dups")
 def _(spark, sf):
-    source = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+    """All columns are compared; orders have several lines of one number."""
+    source = table(spark, sf, "lineitem")
     target = source.filter("l_partkey % 7 <> 0")
-    diff = rowdiff.diff_rows(
-        source.drop("l_partkey"),
-        target.drop("l_partkey"),
-        ["l_orderkey", "l_linenumber"],
-        RowDiffOptions(pair_duplicates=True),
-    )
-    return rowdiff.row_status(diff)
-
-
-_OCC = (
-    "select l_orderkey, l_linenumber, l_extendedprice, row_number() over "
-    "(partition by l_orderkey, l_linenumber order by l_extendedprice) as occ from lineitem"
-)
-ORACLES["row_status_dups"] = oracle(
-    "select l_orderkey, l_linenumber, occ, status from j",
-    {
-        "ls": _OCC,
-        "lt": _OCC + " where l_partkey % 7 <> 0",
-        "j": joined("ls", "lt", ["l_orderkey", "l_linenumber", "occ"], ["l_extendedprice"]),
-    },
-)
+    return rowdiff.row_status(rowdiff.diff_rows(source, target, _LINE_KEYS, RowDiffOptions(pair_duplicates=True)))
 
 
 @query("row_status_hot_key")
 def _(spark, sf):
-    """Three quarters of the rows share one key, many of them alike; it is numbered in pieces."""
+    """Three quarters of the rows share one key; all columns are compared."""
     source = load(spark, sf, "lineitem_hot")
-    target = source.filter("l_partkey % 7 <> 0").drop("l_partkey")
-    options = RowDiffOptions(pair_duplicates=True, hot_key_rows=1000)
-    diff = rowdiff.diff_rows(source.drop("l_partkey"), target, ["k"], options)
+    diff = rowdiff.diff_rows(source, source.filter("l_partkey % 7 <> 0"), ["k"], RowDiffOptions(pair_duplicates=True))
     return diff.df.groupBy("k", "status").agg(
         F.count(F.lit(1)).alias("n"), F.max("occ").alias("last_occ"), F.sum("occ").alias("sum_occ")
     )
 
 
-recipe(
-    "lineitem_hot",
-    """
-select case when l_orderkey % 4 <> 0 then 0 else l_orderkey end as k, l_quantity, l_discount, l_partkey
-from {lineitem}
-""",
-)
-_HOT = (
-    "select k, l_quantity, l_discount, row_number() over (partition by k order by l_quantity, l_discount) as occ "
-    "from lineitem_hot"
+def _occ(of: str, keys: list[str], values: list[str], where: str = "") -> str:
+    """SQL that numbers the rows of each key in the order of their values."""
+    order = ", ".join(f"{v} nulls first" for v in values)
+    return f"select *, row_number() over (partition by {', '.join(keys)} order by {order}) as occ from {of} {where}"
+
+
+ORACLES["row_status_dups"] = oracle(
+    "select l_orderkey, l_linenumber, occ, status from j",
+    {
+        "ls": _occ("lineitem", _LINE_KEYS, _LINE_VALUES),
+        "lt": _occ("lineitem", _LINE_KEYS, _LINE_VALUES, "where l_partkey % 7 <> 0"),
+        "j": joined("ls", "lt", [*_LINE_KEYS, "occ"], _LINE_VALUES),
+    },
 )
+recipe("lineitem_hot", "select case when l_orderkey % 4 <> 0 then 0 else l_orderkey end as k, * from {lineitem}")
+_HOT_VALUES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_LINE_VALUES[2:]]
 ORACLES["row_status_hot_key"] = oracle(
     "select k, status, count(*) as n, max(occ) as last_occ, cast(sum(occ) as bigint) as sum_occ from j group by all",
     {
-        "hs": _HOT,
-        "ht": _HOT + " where l_partkey % 7 <> 0",
-        "j": joined("hs", "ht", ["k", "occ"], ["l_quantity", "l_discount"]),
+        "hs": _occ("lineitem_hot", ["k"], _HOT_VALUES),
+        "ht": _occ("lineitem_hot", ["k"], _HOT_VALUES, "where l_partkey % 7 <> 0"),
+        "j": joined("hs", "ht", ["k", "occ"], _HOT_VALUES),
     },
 )
 

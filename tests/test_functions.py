@@ -28,7 +28,16 @@ def slow_normal_form(s):
 
 @pytest.mark.parametrize(
     "given, expected",
-    [("((0))", "0"), ("(getdate())", "getdate()"), ("(A)+(B)", "(a)+(b)"), ("  price  >   0 ", "price > 0"), ("(()", "("), (None, "")],
+    [
+        ("(( ( Tide ) ))", "tide"),
+        ("(moon_phase(day))", "moon_phase(day)"),
+        ("(Ebb)*(Flow)", "(ebb)*(flow)"),
+        ("\t depth\n<\t\t90 ", "depth < 90"),
+        ("((depth", "((depth"),
+        (")(", ")("),
+        ("", ""),
+        (None, ""),
+    ],
 )
 def test_expressions(spark, given, expected):
     assert one(spark, given, text.normalize_expression) == expected
@@ -46,37 +55,44 @@ def test_parentheses_against_brute_force(spark):
 
 def test_modules(spark):
     lines = lambda c: text.normalize_module(c, collapse=False)
-    assert one(spark, "SELECT 1  \r\nFROM t  \r\n", lines) == one(spark, "SELECT 1\nFROM t", lines) == "SELECT 1\nFROM t"
-    assert one(spark, "\n \n  a　\n\n b \n\n", lines) == "  a\n\n b"
-    assert one(spark, "SELECT   1\n\n  FROM    t", text.normalize_module) == "SELECT 1 FROM t"
-    assert one(spark, None, lines) == one(spark, " \n ", lines) == ""
+    unix, dos = "harbour\n  pier\tone\n\nlast", "harbour \r\n  pier\tone\t\r\n\r\nlast\r\n\r\n"
+    assert one(spark, dos, lines) == one(spark, unix, lines) == unix
+    assert one(spark, "\n\t\n    quay\n", lines) == "    quay"
+    assert one(spark, "harbour\n\n\tpier     one\r\n", text.normalize_module) == "harbour pier one"
+    assert [one(spark, empty, fn) for empty in (None, "", "\t\n") for fn in (lines, text.normalize_module)] == [""] * 6
 
 
 def test_create_or_alter(spark):
-    assert one(spark, "CREATE PROCEDURE dbo.P AS SELECT 2", text.create_or_alter) == "CREATE OR ALTER PROCEDURE dbo.P AS SELECT 2"
-    assert one(spark, "create or alter view v as create view", text.create_or_alter).count("OR ALTER") == 1
-    assert one(spark, "CREATE TABLE t", text.create_or_alter) == "CREATE TABLE t"
+    assert one(spark, "create  VIEW tide.Low as create procedure x", text.create_or_alter) == "CREATE OR ALTER VIEW tide.Low as create procedure x"
+    for same in ("CREATE OR ALTER FUNCTION tide.High()", "CREATE SEQUENCE tide.Ids", "ALTER VIEW tide.Low"):
+        assert one(spark, same, text.create_or_alter) == same
 
 
 VALUES = [
     # SQL expression, SQL Server literal, PostgreSQL literal
-    ("cast(null as int)", "NULL", "NULL"),
-    ("\"O'Brien\"", "N'O''Brien'", "'O''Brien'"),
-    ("true", "1", "TRUE"),
-    ("unhex('0aff')", "0x0AFF", "'\\x0AFF'"),
-    ("cast(1234.56 as decimal(10,2))", "1234.56", "1234.56"),
-    ("cast(0 as decimal(38,18))", "0.000000000000000000", "0.000000000000000000"),
-    ("timestamp_ntz'2026-07-13 10:30:00'", "'2026-07-13T10:30:00'", "'2026-07-13 10:30:00.000000'"),
-    ("timestamp_ntz'2026-07-13 10:30:00.5'", "'2026-07-13T10:30:00.5'", "'2026-07-13 10:30:00.500000'"),
-    ("timestamp'2026-07-13 10:30:00Z'", "'2026-07-13 10:30:00.0000000 +00:00'", "'2026-07-13 10:30:00.000000+00'"),
-    ("date'2026-07-13'", "'2026-07-13'", "'2026-07-13'"),
-    ("interval '10:30:01.5' hour to second", "'10:30:01.5000000'", "'10:30:01.500000'"),
-    ("100D", "100", "100"),
-    ("1e20D", "1E+20", "1E+20"),
-    ("123456789.25D", "123456789.25", "123456789.25"),
-    ("0.0001D", "0.0001", "0.0001"),
-    ("0.00001D", "1E-05", "1E-05"),
-    ("double('NaN')", "NULL", "NULL"),
+    ("cast(null as time)", "NULL", "NULL"),
+    ("\"dArc's\"", "N'dArc''s'", "'dArc''s'"),
+    ("''", "N''", "''"),
+    ("false", "0", "FALSE"),
+    ("unhex('C0DE07')", "0xC0DE07", "'\\xC0DE07'"),
+    ("cast(-7.5 as decimal(9,3))", "-7.500", "-7.500"),
+    ("cast(12345678901234567890 as decimal(38,0))", "12345678901234567890", "12345678901234567890"),
+    ("timestamp_ntz'1999-12-31 23:59:59'", "'1999-12-31T23:59:59'", "'1999-12-31 23:59:59.000000'"),
+    ("timestamp_ntz'1999-12-31 23:59:59.012300'", "'1999-12-31T23:59:59.0123'", "'1999-12-31 23:59:59.012300'"),
+    ("timestamp'2001-02-03 04:05:06.7+02:00'", "'2001-02-03 02:05:06.7000000 +00:00'", "'2001-02-03 02:05:06.700000+00'"),
+    ("date'1582-10-15'", "'1582-10-15'", "'1582-10-15'"),
+    ("interval '00:00:59.25' hour to second", "'00:00:59.2500000'", "'00:00:59.250000'"),
+    ("time'23:05:00.000125'", "'23:05:00.0001250'", "'23:05:00.000125'"),
+    ("time'00:00:00'", "'00:00:00.0000000'", "'00:00:00.000000'"),
+    ("-3D", "-3", "-3"),
+    ("6.25e15D", "6.25E+15", "6.25E+15"),
+    ("-98765.4321D", "-98765.4321", "-98765.4321"),
+    ("0.00025D", "0.00025", "0.00025"),
+    ("2.5e-7D", "2.5E-07", "2.5E-07"),
+    ("float('1.5e-10')", "1.5E-10", "1.5E-10"),
+    ("double('NaN')", "NULL", "'NaN'"),
+    ("double('Infinity')", "NULL", "'Infinity'"),
+    ("float('-Infinity')", "NULL", "'-Infinity'"),
 ]
 
 
@@ -84,6 +100,7 @@ VALUES = [
 def test_literals(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
+    spark.conf.set("spark.sql.timeType.enabled", "true")
     try:
         rows = spark.sql("select " + ", ".join(f"{v} as c{i}" for i, (v, _, _) in enumerate(VALUES)))
         for dialect, place in ((SQL_SERVER, 1), (POSTGRESQL, 2)):
@@ -91,12 +108,14 @@ def test_literals(spark, zone):
             assert list(got) == [v[place] for v in VALUES]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+        spark.conf.unset("spark.sql.timeType.enabled")
 
 
 def test_type_text(spark):
+    """Lengths are in bytes, two for each national character; only some types show scale or precision."""
     cases = [
-        ("nvarchar", 100, 0, 0, "nvarchar(50)"), ("nvarchar", -1, 0, 0, "nvarchar(MAX)"), ("varchar", 25, 0, 0, "varchar(25)"),
-        ("decimal", 9, 18, 4, "decimal(18,4)"), ("datetime2", 8, 27, 7, "datetime2(7)"), ("int", 4, 10, 0, "int"),
+        ("nchar", 14, 0, 0, "nchar(7)"), ("nvarchar", -1, 0, 0, "nvarchar(MAX)"), ("varbinary", -1, 0, 0, "varbinary(MAX)"),
+        ("char", 3, 0, 0, "char(3)"), ("numeric", 5, 7, 0, "numeric(7,0)"), ("time", 5, 16, 3, "time(3)"), ("bigint", 8, 19, 0, "bigint"),
     ]
     rows = spark.createDataFrame(cases, "n string, m int, p int, s int, want string")
     assert rows.filter(format_type(*map(F.col, "nmps")) != F.col("want")).count() == 0
@@ -108,8 +127,9 @@ def batches(spark, script, dialect=SQL_SERVER):
 
 
 def test_batches(spark):
-    assert batches(spark, "SELECT 1\ngo\nSELECT 2\r\nGO -- x\nSELECT 3") == ["SELECT 1", "SELECT 2", "SELECT 3"]
-    assert len(batches(spark, "SELECT 'GO' AS x\nSELECT CATEGORY FROM t -- GO fast")) == 1
-    assert batches(spark, "-- header comment\nGO\nSELECT 1\nGO") == ["SELECT 1"]
-    assert len(batches(spark, "SELECT 1;\nSELECT 2;", POSTGRESQL)) == 1
-    assert batches(spark, "  \n ", POSTGRESQL) == []
+    assert batches(spark, "raise anchor\r\n  Go  \r\nset sail\n\nGO\n\nGO -- and back\nmoor") == ["raise anchor", "set sail", "moor"]
+    one_batch = "let GO = 1\nlet cargo = 2\nGO 5 knots\n'GO'"
+    assert batches(spark, one_batch) == [one_batch]
+    assert batches(spark, "GO\nmoor\nGO\nGO") == ["moor"]
+    assert batches(spark, "moor;\nGO\nsail;", POSTGRESQL) == ["moor;\nGO\nsail;"]
+    assert batches(spark, "\t\n\n", POSTGRESQL) == []

@@ -57,42 +57,80 @@ def test_conservation_and_symmetry(spark):
 
 @pytest.fixture(scope="module")
 def demo(spark):
-    """The rows of a small shop, before and after drift."""
+    """Lighthouses as they are, and an outdated list of them that has a column of its own."""
     source = spark.createDataFrame(
-        [(1, "Alice", "alice@example.com"), (2, "Budi", "budi@example.com"), (3, "Citra", "citra@example.com"),
-         (4, "Dewi", "dewi@example.com"), (5, "Eko", "eko@example.com")], "Id int, Name string, Email string")
+        [(10, "Skerry", "white"), (20, "Holm", "red"), (30, "Ness", "green"), (40, "Voe", None)], "Light int, Place string, Colour string")
     target = spark.createDataFrame(
-        [(1, "Alice", "alice@example.com", None), (2, "Budi", "budi@example.com", None), (3, "Citra", "citra.old@example.com", 7),
-         (4, "Dewi", "dewi@example.com", None), (6, "Fajar", "fajar@example.com", None)], "Id int, NAME string, Email string, LegacyCode int")
+        [(10, "Skerry", "white", None), (20, "Holm", "amber", 9), (40, "Voe", None, 3), (50, "Stack", "red", None), (60, "Geo", "red", 1)],
+        "Light int, PLACE string, Colour string, Keeper int")
     return source, target
 
 
-def test_demo_customers(spark, demo):
+def test_demo_script(spark, demo):
     source, target = demo
-    diff = rowdiff.diff_rows(source, target, ["id"])
-    assert counts(diff) == dict(missing=1, extra=1, different=1, equal=3)
-    ref = dml.TableRef("dbo", "Customers", identity={"Id": "IDENTITY(1,1)"})
+    diff = rowdiff.diff_rows(source, target, ["light"])
+    assert counts(diff) == dict(missing=1, extra=2, different=1, equal=2)
+    ref = dml.TableRef("sea", "Lights", identity={"Light": "IDENTITY(10,10)"})
     script = dml.table_script(diff, ref, SQL_SERVER).orderBy(*dml.script_order(diff))
     assert [r.statement for r in script.collect()] == [
-        "-- ==== Data changes for dbo.Customers ====",
-        "DELETE FROM [dbo].[Customers] WHERE [Id] = 6;",
-        "UPDATE [dbo].[Customers] SET [Email] = N'citra@example.com' WHERE [Id] = 3;",
-        "SET IDENTITY_INSERT [dbo].[Customers] ON;",
-        "INSERT INTO [dbo].[Customers] ([Id], [Name], [Email]) VALUES (5, N'Eko', N'eko@example.com');",
-        "SET IDENTITY_INSERT [dbo].[Customers] OFF;",
+        "-- ==== Data changes for sea.Lights ====",
+        "DELETE FROM [sea].[Lights] WHERE [Light] = 50;",
+        "DELETE FROM [sea].[Lights] WHERE [Light] = 60;",
+        "UPDATE [sea].[Lights] SET [Colour] = N'red' WHERE [Light] = 20;",
+        "SET IDENTITY_INSERT [sea].[Lights] ON;",
+        "INSERT INTO [sea].[Lights] ([Light], [Place], [Colour]) VALUES (30, N'Ness', N'green');",
+        "SET IDENTITY_INSERT [sea].[Lights] OFF;",
     ]
-    synced = rowdiff.apply_changes(source, target, ["Id"])
+    synced = rowdiff.apply_changes(source, target, ["Light"])
     assert synced.columns == target.columns
-    assert sorted(r.LegacyCode or 0 for r in synced.collect()) == [0, 0, 0, 0, 7]
-    assert counts(rowdiff.diff_rows(source, synced, ["Id"])) == dict(missing=0, extra=0, different=0, equal=5)
-    kept = rowdiff.apply_changes(source, target, ["Id"], RowDiffOptions(include_deletes=False))
-    assert counts(rowdiff.diff_rows(source, kept, ["Id"])) == dict(missing=0, extra=1, different=0, equal=5)
+    assert {(r.Light, r.Colour, r.Keeper) for r in synced.collect()} == {(10, "white", None), (20, "red", 9), (30, "green", None), (40, None, 3)}
+    assert counts(rowdiff.diff_rows(source, synced, ["Light"])) == dict(missing=0, extra=0, different=0, equal=4)
+    kept = rowdiff.apply_changes(source, target, ["Light"], RowDiffOptions(include_deletes=False))
+    assert counts(rowdiff.diff_rows(source, kept, ["Light"])) == dict(missing=0, extra=2, different=0, equal=4)
+
+
+def test_computed_columns_follow_the_source(spark):
+    source = spark.createDataFrame([(1, 10, 20), (2, 5, 10)], "k int, a int, twice int")
+    target = spark.createDataFrame([(1, 7, 14)], "k int, a int, twice int")
+    assert {tuple(r) for r in rowdiff.apply_changes(source, target, ["k"], computed=["twice"]).collect()} == {(1, 10, 20), (2, 5, 10)}
+
+
+def test_null_keys_in_statements(spark):
+    source, target = (spark.createDataFrame(rows, "k int, v int") for rows in ([(None, 1)], [(None, 2)]))
+    diff = rowdiff.diff_rows(source, target, ["k"], RowDiffOptions(null_safe_keys=True))
+    rows = dml.statements(diff, dml.TableRef("sea", "T"), POSTGRESQL).collect()
+    assert [r.statement for r in rows] == ['UPDATE "sea"."T" SET "v" = 1 WHERE "k" IS NULL;']
+    synced = rowdiff.apply_changes(source, target, ["k"], RowDiffOptions(null_safe_keys=True))
+    assert [tuple(r) for r in synced.collect()] == [(None, 1)]
+
+
+def test_values_without_a_literal(spark):
+    """SQL Server stores no NaN: the row is named in a warning. PostgreSQL does."""
+    source = spark.sql("select 1 as k, double('NaN') as depth, 2D as width")
+    target = spark.sql("select 2 as k, double('NaN') as depth, 2D as width")
+    diff = rowdiff.diff_rows(source, target, ["k"], RowDiffOptions(include_deletes=False))
+    text = lambda d: [r.statement for r in dml.statements(diff, dml.TableRef("sea", "T"), d).collect()]
+    assert text(SQL_SERVER) == ["-- WARNING: sea.T: SQL Server has no value for depth of the row with [k] = 1"]
+    assert text(POSTGRESQL) == ["INSERT INTO \"sea\".\"T\" (\"k\", \"depth\", \"width\") VALUES (1, 'NaN', 2);"]
+
+
+def test_numbers_of_different_types(spark):
+    source = spark.sql("select * from values (1, 9007199254740993L, 1.50BD, cast(7 as decimal(38,0))), (2, 4L, 0.1BD, cast(7 as decimal(38,0))) as t(k, n, d, w)")
+    target = spark.sql("select * from values (1, 9007199254740992D, 1.5D, cast(7 as decimal(38,18))), (2, 4D, 0.1D, cast(7.5 as decimal(38,18))) as t(k, n, d, w)")
+    got = {r.k: r.changed for r in rowdiff.diff_rows(source, target, ["k"]).df.collect()}
+    assert got == {1: ["n"], 2: ["w"]}
+
+
+def test_duplicates_with_maps(spark):
+    rows = "select * from values (1, map('a', 1), 2), (1, map('a', 1), 2), (1, map('b', 2), 1) as t(k, m, v)"
+    diff = rowdiff.diff_rows(spark.sql(rows), spark.sql(rows + " where v = 2"), ["k"], RowDiffOptions(pair_duplicates=True))
+    assert counts(diff) == dict(missing=1, extra=0, different=0, equal=2)
 
 
 def test_no_changes_no_script(spark, demo):
     source, _ = demo
-    diff = rowdiff.diff_rows(source, source, ["Id"])
-    assert dml.table_script(diff, dml.TableRef("dbo", "C", identity={"Id": "x"}), POSTGRESQL).count() == 0
+    diff = rowdiff.diff_rows(source, source, ["Light"])
+    assert dml.table_script(diff, dml.TableRef("sea", "Lights", identity={"Light": "x"}), POSTGRESQL).count() == 0
 
 
 def test_values_and_types(spark):
@@ -119,7 +157,7 @@ def test_not_comparable(spark, demo):
     with pytest.raises(rowdiff.NotComparable):
         rowdiff.diff_rows(source, target, [])
     with pytest.raises(rowdiff.NotComparable):
-        rowdiff.diff_rows(source, target.drop("Id"), ["Id"])
+        rowdiff.diff_rows(source, target.drop("Light"), ["Light"])
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -131,7 +169,7 @@ def test_hot_keys_against_brute_force(spark, seed):
     data += [(rng.randint(1, 200), rng.randint(0, 3), 0) for _ in range(800)]
     rng.shuffle(data)
     df = spark.createDataFrame(data, "k int, a int, b int").repartition(7)
-    got = number_occurrences(df, ["k"], ["a", "b"], hot_key_rows=100).collect()
+    got = number_occurrences(df, ["k"], ["a", "b"]).collect()
     groups = defaultdict(list)
     for k, a, b in data:
         groups[k].append((a, b))
@@ -147,7 +185,7 @@ def test_long_runs_unfold(spark, monkeypatch):
 
     monkeypatch.setattr(occurrences, "_FAN_OUT", 4)
     df = spark.range(1000).select(F.lit(1).alias("k"), F.lit(2).alias("v"))
-    got = number_occurrences(df, ["k"], ["v"], hot_key_rows=10)
+    got = number_occurrences(df, ["k"], ["v"])
     assert sorted(r.occ for r in got.collect()) == list(range(1, 1001))
 
 
