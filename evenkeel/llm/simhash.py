@@ -149,11 +149,12 @@ def _node_pairs(nodes: DataFrame, deepest: int, bits: int) -> DataFrame:
             pairs = grown.select(pairs.columns).union(pairs.where(f"l{side}"))
         short = [F.expr(f"shiftrightunsigned(p{s}, d{s} - least(da, db))") for s in "ab"]
         near = pairs.where(F.bit_count(short[0].bitwiseXOR(short[1])) <= bits)
+        # Nodes of one depth meet in both orders, of which one stays; what grows from it has one order too.
         pairs = landed(near.where("da <> db or pa <= pb"), "trie-pairs")
     all_ = done[0]
     for more in done[1:]:
         all_ = all_.union(more)
-    return all_.where("da <= db")  # leaves of different depth are met from both sides
+    return all_
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray | None, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
