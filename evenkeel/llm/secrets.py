@@ -41,8 +41,10 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 class SecretRules:
     min_chars: int = 20
     min_ratio: float = 14.0
-    #: The share of the random model that is uniform over the alphabet, as samples rarely show all of it.
+    #: The share of random strings that are uniform over the alphabet instead of like the samples.
     uniform: float = 0.3
+    #: How many observed characters the back-off of the ordinary model weighs.
+    backoff: float = 20.0
 
 
 def patterns(text: str) -> list[tuple[int, int, int, int]]:
@@ -67,17 +69,26 @@ class Models:
     """The log-likelihood ratio of each transition."""
 
     def __init__(self, random: np.ndarray, ordinary: np.ndarray, rules: SecretRules):
-        def rows(counts: np.ndarray, prior: float) -> np.ndarray:
-            inner = counts.reshape(_N, _N)[1:, 1:] + prior
-            return inner / inner.sum(axis=1, keepdims=True)
+        def inner(counts: np.ndarray) -> np.ndarray:
+            return counts.reshape(_N, _N)[1:, 1:]
 
-        spread = (1 - rules.uniform) * rows(random, 1e-9) + rules.uniform / (_N - 1)
+        def rows(counts: np.ndarray) -> np.ndarray:
+            return counts / counts.sum(axis=1, keepdims=True)
+
+        # Transitions that ordinary text lacks get the share of their second character in it.
+        single = inner(ordinary).sum(axis=0) + 0.5
+        usual = rows(inner(ordinary) + rules.backoff * single / single.sum())
         self.rules, self.token = rules, re.compile(_TOKEN % rules.min_chars)
-        self.ratio = np.log(spread) - np.log(rows(ordinary, 0.5))
+        self.usual, self.sampled = np.log(usual), np.log(rows(inner(random) + 0.1))
 
     def score(self, token: str) -> float:
+        """The log-likelihood ratio of a token. A random string is like the samples or uniform over
+        the alphabet, which samples rarely show all of."""
         cls = _CLASS[np.frombuffer(token.encode("utf-32-le"), "<u4")].astype(np.int32) - 1
-        return float(self.ratio[cls[:-1], cls[1:]].sum())
+        pairs = cls[:-1], cls[1:]
+        share, even = self.rules.uniform, len(cls[1:]) * np.log(_N - 1)
+        drawn = np.logaddexp(np.log(1 - share) + self.sampled[pairs].sum(), np.log(share) - even)
+        return float(drawn - self.usual[pairs].sum())
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of all secrets, by start, then kind."""
