@@ -7,6 +7,8 @@ the section titles and warnings are fixed values.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import fields
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -361,7 +363,7 @@ class DeploymentPlan:
     # The whole ----------------------------------------------------------------------
     @cached_property
     def rows(self) -> DataFrame:
-        """All phases with titles, header and transaction, for pairs of one engine each."""
+        """All phases with titles, header and transaction, for the pairs whose two sides run the dialect's engine."""
         phases = [
             self.schemas, self.drop_code, self.drop_fks, self.drop_constraints, self.drop_tables, self.create_tables,
             self.alter_columns, self.add_constraints, self.create_indexes, self.create_fks, self.create_code,
@@ -388,7 +390,39 @@ class DeploymentPlan:
         closing = self.dialect.script_end(use)
         if closing:
             parts.append(_lines(names, _END, [F.lit(x) for x in closing]))
-        return _union(parts).join(self.diff.pair_errors.select("pair_id"), "pair_id", "left_anti")
+        return _union(parts).join(engine_pairs(self.snapshot, self.dialect), "pair_id", "left_semi")
+
+
+def _engines(snapshot: Snapshot) -> DataFrame:
+    source, target = SchemaDiff.sides(snapshot.databases)
+    return source.select("pair_id", F.col("provider").alias("s")).join(target.select("pair_id", F.col("provider").alias("t")), "pair_id")
+
+
+def engine_pairs(snapshot: Snapshot, dialect: Dialect) -> DataFrame:
+    """The pairs whose two sides run the engine of the dialect."""
+    name = dialect.name.upper()
+    return _engines(snapshot).where((F.upper("s") == name) & (F.upper("t") == name)).select("pair_id")
+
+
+def fleet_rows(
+    snapshot: Snapshot,
+    dialects: Sequence[Dialect],
+    compare: CompareOptions = CompareOptions(),
+    script: ScriptOptions = ScriptOptions(),
+    selection: DataFrame | None = None,
+) -> DataFrame:
+    """The plan of every pair in the dialect of its own engine. A pair of two engines, or of one
+    without a dialect, has a line that says why it has no script."""
+    parts, served = [], None
+    for dialect in dialects:
+        pairs = cut(engine_pairs(snapshot, dialect))
+        served = pairs if served is None else served.union(pairs)
+        # Landed, as a plan reads each frame several times.
+        own = Snapshot(**{f.name: cut(getattr(snapshot, f.name).join(pairs, "pair_id", "left_semi")) for f in fields(snapshot)})
+        parts.append(DeploymentPlan(own, dialect, compare, script, selection).rows)
+    left = _engines(snapshot).join(served, "pair_id", "left_anti")
+    text = fill("-- ERROR: no script: the source runs {s}, the target runs {t}.", s=F.coalesce("s", F.lit("?")), t=F.coalesce("t", F.lit("?")))
+    return _union([*parts, _lines(left, _START, [text])])
 
 
 def _lines_with_phase(df: DataFrame, texts: list[Column]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from evenkeel.functions.dialect import POSTGRESQL, SQL_SERVER
 from evenkeel.options import ScriptOptions
-from evenkeel.plans.deploy import PLAN_ORDER, SECTIONS, DeploymentPlan
+from evenkeel.plans.deploy import PLAN_ORDER, SECTIONS, DeploymentPlan, fleet_rows
 from suite.base import oracle
 from suite.fleet import fleet
 from suite.schemas import BASE, steps
@@ -340,6 +342,31 @@ QUERIES["deployment_plan_pg"] = lambda spark, sf: plan(spark, sf, True).rows
 ORACLES["deployment_plan_pg"] = _whole("pg")
 
 
+_APART = 100_000
+
+
+def _mixed(spark, sf):
+    """One fleet of pairs of both engines, and of pairs whose sides run different ones."""
+    ms, pg = fleet(spark, sf), fleet(spark, sf, True)
+    frames = {}
+    for f in dataclasses.fields(ms):
+        moved = getattr(pg, f.name).withColumn("pair_id", F.col("pair_id") + _APART)
+        frames[f.name] = getattr(ms, f.name).unionByName(moved)
+    return fleet_rows(type(ms)(**frames), [SQL_SERVER, POSTGRESQL])
+
+
+def _mixed_sql() -> str:
+    """Both whole plans; the steps that they share have other names in the second."""
+    error = _row(-1, "'-- ERROR: no script: the source runs SQL Server, the target runs PostgreSQL.'", "bad_pairs")
+    moved = f"select * replace (pair_id + {_APART} as pair_id) from ({_whole('pg')})"
+    failed = oracle(error, {"bad_pairs": BASE["bad_pairs"]})
+    return "\nunion all\n".join(f"select * from ({part})" for part in (_whole("mssql"), moved, failed))
+
+
+QUERIES["deployment_plan_mixed"] = _mixed
+ORACLES["deployment_plan_mixed"] = _mixed_sql()
+
+
 def _no_drops(spark, sf):
     rows = plan(spark, sf, include_drops=False, use_transaction=False)
     return rows.drop_fks.unionByName(rows.drop_tables).unionByName(rows.alter_columns).unionByName(rows.drop_code)
