@@ -261,6 +261,13 @@ def diff_tables(pairs: Sequence[TablePair], options: RowDiffOptions = RowDiffOpt
     return out
 
 
+def diff_tables_to(pairs: Sequence[TablePair], path: str, options: RowDiffOptions = RowDiffOptions(), batch: int = 25) -> None:
+    """The same for any number of tables: batches of them, each a job of its own, appended to the
+    Parquet folder `path`, so that no plan holds more than `batch` tables."""
+    for at in range(0, len(pairs), batch):
+        diff_tables(pairs[at : at + batch], options).write.mode("append").parquet(path)
+
+
 def _one_sided(
     source: DataFrame, target: DataFrame, keys: Sequence[str], options: RowDiffOptions, how: str, swap: bool
 ) -> DataFrame:

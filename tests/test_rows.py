@@ -152,6 +152,13 @@ def test_null_keys(spark):
     assert (plain["missing"], plain["extra"], plain["equal"]) == (1, 1, 1)
 
 
+def test_many_tables_in_batches(spark, tmp_path):
+    pairs = [rowdiff.TablePair(f"t{i}", spark.range(i + 3), spark.range(3), ["id"]) for i in range(7)]
+    rowdiff.diff_tables_to(pairs, str(tmp_path / "out"), batch=3)
+    got = {r.table_name: (r.missing, r.equal) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {f"t{i}": (i, 3) for i in range(7)}
+
+
 def test_not_comparable(spark, demo):
     source, target = demo
     with pytest.raises(rowdiff.NotComparable):
