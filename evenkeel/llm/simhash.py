@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import col, keyed, landed
+from evenkeel.llm.common import col, free_name, keyed, landed
 from evenkeel.llm.components import components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -285,18 +285,26 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     return rows.join(known, "fp").select("id", "fp", "component_id")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows in a landed table with a number each, and the name of the column that holds it."""
+    number = free_name(docs, "row")
+    return landed(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
+
+
+def kept(rows: DataFrame, number: str, key: str, groups: DataFrame, nameless_apart: bool = False) -> DataFrame:
+    """Of numbered rows, the one with the least (id, number) of each group of `groups` (row, root), without the number.
+
+    Rows without an id come last, or count as a group of their own."""
+    nameless = col(key).isNull()
+    order = F.struct(nameless.alias("nameless"), col(key).alias("id"), col(number).alias("row"))
+    placed = rows.select(order.alias("order"), col(number).alias("row")).join(groups, "row")
+    by = ["root", "order.nameless"] if nameless_apart else ["root"]
+    least = placed.groupBy(*by).agg(F.min("order").alias("least")).select(F.col("least.row").alias(number))
+    return rows.join(least, number, "left_semi").drop(number)
+
+
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of `docs` whose id is the least of its group, as they were. Of rows that share an
-    id the least stays; rows without an id stay once each if they are equal in all columns."""
-    found = landed(clusters(docs, key, text, words, bits), "clusters")
-    others = found.where("id <> component_id").select(F.col("id").alias(key))
-    rows = docs.join(others, key, "left_anti")
-    again = landed(found.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias(key)), "repeated-ids")
-    if again.isEmpty():
-        return rows
-    whole = rows.select(F.struct(*map(col, docs.columns)).alias("row"), col(key).alias(key))
-    known = again.where(col(key).isNotNull())
-    repeated = whole.join(known, key, "left_semi").groupBy(key).agg(F.min("row").alias("row"))
-    nameless = whole.where(col(key).isNull()).select("row").distinct()
-    kept = whole.where(col(key).isNotNull()).join(known, key, "left_anti").select("row")
-    return kept.union(repeated.select("row")).union(nameless).select("row.*")
+    """Of each group the row with the least (id, place in the table), as it was; of its rows without an id, one stays too."""
+    rows, number = numbered(docs)
+    found = clusters(rows, number, text, words, bits).select(F.col("id").alias("row"), F.col("component_id").alias("root"))
+    return kept(rows, number, key, landed(found, "clusters"), nameless_apart=True)

@@ -265,3 +265,13 @@ def test_scan_and_masks(spark, odd, none):
     same = secrets.redacted(odd, models)
     assert same.columns == odd.columns and sorted(map(tuple, same.collect()), key=repr) == sorted(map(tuple, odd.collect()), key=repr)
     assert secrets.scan(none, secrets.fit(none, secrets.SecretRules())).collect() == []
+
+
+def test_one_per_group_decides_by_row(spark):
+    """Ids that repeat and ids that are null, with texts that have a near copy or none."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (7, c, 4), (7, "x y", 5), (None, "p q", 6), (None, "p q", 7), (None, c, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").coalesce(1)
+    for got in (simhash.one_per_group(docs),):
+        assert got.columns == docs.columns
+        assert {1, 3, 4, 5, 6} <= (places := {r.row for r in got.collect()}) and not {2, 7} & places
