@@ -267,11 +267,63 @@ def test_scan_and_masks(spark, odd, none):
     assert secrets.scan(none, secrets.fit(none, secrets.SecretRules())).collect() == []
 
 
+# Near copies of the pipeline --------------------------------------------------
+def edited(rng: random.Random, words: list[str], n: int) -> str:
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def slow_similar(texts: list[str], size: int, least: float) -> list[int]:
+    """The least position that pairs of that Jaccard similarity reach."""
+
+    def grams(t):
+        words = t.lower().split()
+        return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or ({tuple(words)} if words else set())
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_copies_against_brute_force(spark, none):
+    from evenkeel.llm import similar
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    bases = [[rng.choice(vocabulary) for _ in range(rng.choice([50, 120, 400, 900]))] for _ in range(60)]
+    texts = [" ".join(b) for b in bases] + ["", " \n", "one two", "ONE two", "one three"]
+    for b in bases:  # similarity from about 0.6 to 1
+        texts += [edited(rng, b, max(1, round(len(b) * share))) for share in (0.0, 0.01, 0.018, 0.021, 0.024, 0.03, 0.05)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = slow_similar(texts, 5, 0.8)
+    kept = {r.doc_id for r in similar.one_per_group(docs).collect()}
+    assert kept == set(want)
+    # Links that four bits over four words do not make.
+    narrow = slow_groups({i: slow_print(t, 4) for i, t in enumerate(texts)}, 4)
+    assert sum(narrow[i] != narrow[want[i]] for i in range(len(texts))) > 20
+    assert similar.one_per_group(none).collect() == []
+
+
 def test_one_per_group_decides_by_row(spark):
     """Ids that repeat and ids that are null, with texts that have a near copy or none."""
+    from evenkeel.llm import similar
+
     a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
     rows = [(3, a, 1), (5, a, 2), (5, b, 3), (7, c, 4), (7, "x y", 5), (None, "p q", 6), (None, "p q", 7), (None, c, 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int").coalesce(1)
-    for got in (simhash.one_per_group(docs),):
+    for got in (simhash.one_per_group(docs), similar.one_per_group(docs)):
         assert got.columns == docs.columns
         assert {1, 3, 4, 5, 6} <= (places := {r.row for r in got.collect()}) and not {2, 7} & places
+    assert 8 not in places
