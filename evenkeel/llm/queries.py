@@ -58,8 +58,13 @@ SHARDS = sharding.ShardRules(limit=1 << 20)
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document."""
-    return sharding.assigned(table(spark, sf_dir, "documents"), SHARDS).withColumnRenamed("id", "doc_id")
+    """Every document written to its shard; shards and their sizes as read back."""
+    docs, path = table(spark, sf_dir, "documents"), new_folder(spark, "shards")
+    sharding.write(docs, path, SHARDS)
+    stored = sharding.read(docs, path).select("doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    sizes = stored.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
+    depth = F.length(F.replace("shard", F.lit("+"), F.lit("")))
+    return stored.join(sizes, "shard").select("doc_id", "shard", depth.alias("depth"), "shard_bytes", "shard_rows")
 
 
 # Ids are unique in the given tables, so that no shard needs the second pseudo-key.

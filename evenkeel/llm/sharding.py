@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import col, landed
+from evenkeel.llm.common import col, free_name, landed, numbered
 
 _BITS = 60
 _BLOCK = 12
@@ -82,11 +82,17 @@ def _bits(prefix: str, depth: str) -> Column:
 def assigned(docs: DataFrame, rules: ShardRules, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, shard, depth, shard_bytes, shard_rows) for every row. `shard` is the prefix in binary
     digits; a plus parts the first pseudo-key's bits from the second's."""
+    return _assigned(docs, rules, key, text, None).drop("row")
+
+
+def _assigned(docs: DataFrame, rules: ShardRules, key: str, text: str, number: str | None) -> DataFrame:
+    """As `assigned`, with the column `number` of `docs` carried along as `row`."""
     size = F.coalesce(F.octet_length(col(text).cast("string")), F.lit(0)).cast("long")
-    rows = docs.select(col(key).alias("id"), size.alias("bytes"))
-    rows = landed(rows.select("id", "bytes", pseudo_key(F.col("id")).alias("key"), F.lit(0).cast("long").alias("group")), "shard-keys")
+    row = F.lit(None).cast("long") if number is None else col(number)
+    rows = docs.select(row.alias("row"), col(key).alias("id"), size.alias("bytes"))
+    rows = landed(rows.select("row", "id", "bytes", pseudo_key(F.col("id")).alias("key"), F.lit(0).cast("long").alias("group")), "shard-keys")
     done, stuck = _phase(rows, rules, "key", True)
-    columns = ["id", "shard", "depth", "shard_bytes", "shard_rows"]
+    columns = ["row", "id", "shard", "depth", "shard_bytes", "shard_rows"]
     parts = [d.withColumn("shard", _bits("prefix", "depth")).select(columns) for d in done]
     if stuck is not None:
         placed = landed(stuck, "shard-stuck").withColumn("second", pseudo_key(F.monotonically_increasing_id()))
@@ -104,6 +110,16 @@ def assigned(docs: DataFrame, rules: ShardRules, key: str = "doc_id", text: str
 
 
 def write(docs: DataFrame, path: str, rules: ShardRules, key: str = "doc_id", text: str = "text") -> None:
-    """Write the rows of `docs` as Parquet, a folder per shard. Keys must be unique and not null."""
-    shards = assigned(docs, rules, key, text).select(F.col("id").alias(key), "shard")
-    docs.join(shards, key).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write every row of `docs` as Parquet to the new folder `path`, a folder per shard."""
+    rows, number = numbered(docs)
+    name = free_name(docs, "shard")
+    shards = _assigned(rows, rules, key, text, number).select(F.col("row").alias(number), F.col("shard").alias(name))
+    rows.join(shards, number).drop(number).repartition(name).write.partitionBy(name).parquet(path)
+
+
+def read(docs: DataFrame, path: str) -> DataFrame:
+    """The rows that `write` has written of `docs`, with their shard as the last column."""
+    name = free_name(docs, "shard")
+    # The schema keeps shards strings; the empty one is a folder of its own kind, read as null.
+    stored = docs.sparkSession.read.schema(docs.schema.add(name, "string")).parquet(path)
+    return stored.withColumn(name, F.coalesce(name, F.lit("")))

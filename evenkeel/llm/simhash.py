@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import col, free_name, keyed, landed
+from evenkeel.llm.common import col, keyed, landed, numbered
 from evenkeel.llm.components import components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -285,12 +285,6 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     return rows.join(known, "fp").select("id", "fp", "component_id")
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows in a landed table with a number each, and the name of the column that holds it."""
-    number = free_name(docs, "row")
-    return landed(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
-
-
 def kept(rows: DataFrame, number: str, key: str, groups: DataFrame, nameless_apart: bool = False) -> DataFrame:
     """Of numbered rows, the one with the least (id, number) of each group of `groups` (row, root), without the number.
 

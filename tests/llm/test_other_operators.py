@@ -115,6 +115,18 @@ def test_hot_key_is_split_further(spark):
     assert all(r.shard_bytes <= 200 for r in got) and sum("+" in r.shard for r in got) == 600
 
 
+def test_written_shards_hold_every_row_once(spark, odd):
+    docs = spark.range(900).select(F.expr("case when id < 300 then 1 when id >= 600 then id end").alias("doc_id"), F.col("id").alias("n"), F.lit("y" * 10).alias("text"))
+    path = new_folder(spark, "test-shards")
+    sharding.write(docs.repartition(4), path, sharding.ShardRules(limit=200))
+    got = sharding.read(docs, path).collect()
+    assert sorted((r.n, r.doc_id) for r in got) == sorted((r.n, r.doc_id) for r in docs.collect())
+    assert max(Counter(r.shard for r in got).values()) <= 20 and sum("+" in r.shard for r in got) == 600
+    one = new_folder(spark, "test-shards")
+    sharding.write(odd, one, sharding.ShardRules())
+    assert sorted(map(repr, sharding.read(odd, one).drop("shard").collect())) == sorted(map(repr, odd.collect()))
+
+
 # Licences ---------------------------------------------------------------------
 def test_licences(spark, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
