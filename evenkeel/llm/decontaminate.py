@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows and exact shingle similarity.
 
 Every benchmark item of n tokens has a SimHash of its shingles, weighted by how often they occur,
-and so has every window of n tokens in a document. The 64 bits are split into blocks; two
+and so has every window of n tokens in a document, or the whole of a document of fewer tokens. The 64 bits are split into blocks; two
 fingerprints within the radius agree up to `radius // blocks` bits in one block at least, so a table per
 block that lists all items near each block value finds them all. Candidates are verified
 by the weighted Jaccard similarity of the shingles themselves.
@@ -127,10 +127,11 @@ class Items:
             cuts = np.flatnonzero(np.diff(items[order])) + 1
             for part in np.split(order, cuts):
                 item = int(items[part[0]])
-                firsts = self._starts(at[part], self.size[item], width, len(numbers))
+                size = min(self.size[item], len(numbers))
+                firsts = self._starts(at[part], size, width, len(numbers))
                 if not len(firsts):
                     continue
-                prints = self._window_prints(own, firsts, self.size[item] - width + 1)
+                prints = self._window_prints(own, firsts, size - width + 1)
                 near = self.within(prints, item)
                 if not len(near):
                     continue
@@ -139,8 +140,8 @@ class Items:
                 if best is not None:
                     sim, first = best
                     bits = int(np.bitwise_count(prints[np.searchsorted(firsts, first)] ^ self.prints[item]))
-                    last = first + self.size[item] - 1
-                    out.append((self.ids[item], int(first), self.size[item], int(start[first]), int(end[last]), bits, sim))
+                    last = first + size - 1
+                    out.append((self.ids[item], int(first), size, int(start[first]), int(end[last]), bits, sim))
         return out
 
     @staticmethod

@@ -231,6 +231,31 @@ def test_matches_against_brute_force(spark, odd, none):
     assert decontaminate.matches(none, bench, rules).collect() == [] and decontaminate.clean(odd, bench.limit(0), rules).count() == odd.count()
 
 
+def test_documents_shorter_than_an_item(spark):
+    rng, rules = random.Random(5), decontaminate.Decontamination()
+    items = {i: " ".join(f"v{rng.randrange(50)}" for _ in range(n)) for i, n in enumerate([5, 6, 12, 38, 59])}
+    docs, want = [], {}
+    for text in items.values():
+        for gone in (0, 1, 2, 8):
+            docs += [text.split()[gone:], text.split()[: len(text.split()) - gone]]
+    docs = [" ".join(words) for words in docs]
+    for i, text in enumerate(docs):
+        words = text.split()
+        for item, other in items.items():
+            own = other.split()
+            n = min(rules.shingle, len(own))
+            grams = lambda run: Counter(tuple(run[k : k + n]) for k in range(len(run) - n + 1))  # noqa: B023, E731
+            for first in range(max(len(words) - len(own), 0) + 1):
+                sim = decontaminate.similarity(grams(own), grams(words[first : first + len(own)]))
+                if sim >= rules.similarity and sim > want.get((i, item), (0,))[0]:
+                    want[i, item] = sim, first, min(len(words), len(own))
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.id, r.item_id): (r.similarity, r.first_token, r.n_tokens) for r in decontaminate.matches(table, bench, rules).collect()}
+    assert got == want and sum(sim < 1 for sim, _, _ in want.values()) >= 6
+    assert {r.doc_id for r in decontaminate.clean(table, bench, rules).collect()} == set(range(len(docs))) - {i for i, _ in want}
+
+
 def test_block_tables_find_all_within_the_radius():
     rules, rng = decontaminate.Decontamination(), np.random.default_rng(3)
     known = decontaminate.Items([(i, f"alpha beta gamma delta epsilon zeta number {i} of the list") for i in range(30)], rules)
