@@ -3,7 +3,10 @@
 Hosts with allowed pages are trusted seeds, hosts with blocked pages are blocked seeds, each by the share of
 its pages. Trust flows along links, distrust against them, as personalised PageRank; the same walks
 from all pages give what a host would have if every page were a seed. Distrust and trust relative
-to these, distrust less trust, decide a host: at `threshold` or more it is blocked.
+to these, distrust less trust, decide a host: at `threshold` or more it is blocked. What comes over links
+alone counts in the same way without the host's own seeds, so that many pages of its own, or links
+from many hosts, don't shield a host that links to blocked ones; its own trust still counts for it.
+The walks go on until the change is below `tolerance`, or for `rounds` rounds if given.
 
 All of it is DataFrame functions. Links are counted per pair of hosts before the walk, so that a host
 with very many pages or links is a few rows. A URL that is null or has no `://` has empty host
@@ -35,7 +38,7 @@ class Rule:
 class UrlRules:
     rules: tuple[Rule, ...]
     follow: float = 0.85
-    rounds: int = 30
+    rounds: int | None = None
     tolerance: float = 1e-9
     threshold: float = 0.5
 
@@ -69,7 +72,8 @@ def edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def host_scores(hosts: DataFrame, links: DataFrame, rules: UrlRules) -> DataFrame:
-    """(host, trust, distrust) from (host, pages, allowed, blocked) and (src, dst, n)."""
+    """(host, trust, distrust, linked) from (host, pages, allowed, blocked) and (src, dst, n); `linked` is the
+    distrust that comes over links, relative to what would come from seeds everywhere."""
     links = landed(links, "host-links")
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     into = links.groupBy("dst").agg(F.sum("n").alias("total"))
@@ -80,7 +84,9 @@ def host_scores(hosts: DataFrame, links: DataFrame, rules: UrlRules) -> DataFram
     seeds = {"t": "allowed", "p": "pages", "d": "blocked", "q": "pages"}
     start = hosts.join(ends, "host", "full").select("host", *[((1 - rules.follow) * F.coalesce(c, F.lit(0))).alias(f"{k}0") for k, c in seeds.items()])
     state = landed(start.select("*", *[F.col(f"{k}0").alias(k) for k in seeds]), "hosts")
-    for _ in range(rules.rounds):
+    done = 0
+    while rules.rounds is None or done < rules.rounds:
+        done += 1
         flows = None
         for way, names in ((forward, "tp"), (back, "dq")):
             sent = way.join(state, "host").groupBy(F.col("to").alias("host")).agg(*[F.sum(F.col("w") * F.col(k)).alias(f"{k}1") for k in names])
@@ -95,7 +101,9 @@ def host_scores(hosts: DataFrame, links: DataFrame, rules: UrlRules) -> DataFram
         if not change or change <= rules.tolerance * mass:
             break
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return state.select("host", share("t", "p").alias("trust"), share("d", "q").alias("distrust"))
+    # Without links nothing is left but the rounding of the subtraction.
+    over = F.when(F.col("q") - F.col("q0") > 1e-12 * F.col("q"), (F.col("d") - F.col("d0")) / (F.col("q") - F.col("q0"))).otherwise(0.0)
+    return state.select("host", share("t", "p").alias("trust"), share("d", "q").alias("distrust"), over.alias("linked"))
 
 
 def judged(pages: DataFrame, rules: UrlRules, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -105,6 +113,6 @@ def judged(pages: DataFrame, rules: UrlRules, key: str = "page_id", url: str = "
         F.count(F.lit(1)).alias("pages"), F.count(F.when(F.col("ruling") == "allow", 1)).alias("allowed"), F.count(F.when(F.col("ruling") == "block", 1)).alias("blocked")
     )
     scores = landed(host_scores(hosts, edges(pages, url, html), rules), "host-scores")
-    verdict = F.when(F.coalesce(F.col("distrust") - F.col("trust") >= rules.threshold, F.lit(False)), "block").otherwise("allow")
+    verdict = F.when(F.coalesce(F.greatest("distrust", "linked") - F.col("trust") >= rules.threshold, F.lit(False)), "block").otherwise("allow")
     joined = rows.join(scores, "host", "left")
     return joined.select("id", "host", "path", "rule", F.coalesce("ruling", verdict).alias("verdict"), "trust", "distrust")

@@ -210,6 +210,21 @@ def test_walks_against_brute_force(spark):
             assert got[i].verdict == ("block" if d[host] / q[host] - t[host] / p[host] >= rules.threshold else "allow")
 
 
+def test_links_alone_block_a_host(spark):
+    """Hosts that link only to blocked hosts of their own size, one of many linkers, and one of very many pages."""
+    from evenkeel.llm.queries import URL_RULES
+
+    link = lambda h: f'<a href="http://{h}/">'
+    pages = [(f"bad{i}.net", "") for i in range(2) for _ in range(5)] + [("good.example.org", "")] * 5
+    pages += [(f"only{i}.com", link("bad0.net")) for i in range(6) for _ in range(5)] + [("large.com", link("bad1.net"))] * 50
+    pages += [("mixed.com", link("good.example.org") * 3 + link("bad0.net"))] * 5 + [("own.com", link("own.com"))] * 5
+    rows = [(i, f"http://{h}/fr/", html) for i, (h, html) in enumerate(pages)]
+    got = urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()
+    blocked = {r.host for r in got if r.verdict == "block"}
+    assert {"bad0.net", "bad1.net", "large.com", *(f"only{i}.com" for i in range(6))} <= blocked
+    assert not blocked & {"good.example.org", "mixed.com", "own.com"}
+
+
 # Pipeline ---------------------------------------------------------------------
 def test_pipeline_against_its_operators(spark):
     """Every stage's rows from the other tests' brute-force versions, stage after stage."""
