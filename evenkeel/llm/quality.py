@@ -33,7 +33,6 @@ class QualityRules:
     buckets: int = 8192
     smoothing: float = 1.0
     threshold: float = -0.2
-    max_trusted: int = 50_000
 
 
 def _words(text: str) -> Column:
@@ -101,14 +100,12 @@ def _cells(buckets: int) -> Column:
 
 def fit(docs: DataFrame, trusted: DataFrame, rules: QualityRules, key: str = "doc_id", text: str = "text") -> list[float]:
     """log(target / raw) of every cell, smoothed. All rows of `docs` form the raw corpus; the target
-    are those whose key is among `trusted`, of which at most `rules.max_trusted`, chosen by hash, count."""
-    ids = trusted.select(col(key).alias("id")).where("id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(rules.max_trusted).withColumn("target", F.lit(1))
+    are all those whose key is among `trusted`."""
+    ids = trusted.select(col(key).alias("id")).where("id is not null").distinct().withColumn("target", F.lit(1))
     rows = docs.select(col(key).alias("id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", _tokens("text").alias("tokens")).select("id", _cells(rules.buckets).alias("cells"))
-    # The hint is safe: `max_trusted` rows of one key at most.
     # The outer form, as for the other one the optimiser copies what makes `cells` into a filter.
-    grams = rows.join(F.broadcast(ids), "id", "left").select("target", F.explode_outer("cells").alias("cell"))
+    grams = rows.join(ids, "id", "left").select("target", F.explode_outer("cells").alias("cell"))
     counts = grams.where("cell is not null").groupBy("cell").agg(F.count("target"), F.count(F.lit(1)))
     return ratios({cell: (target, raw) for cell, target, raw in counts.collect()}, rules)  # a row per cell
 

@@ -188,6 +188,12 @@ def test_likelihood_ratio(spark, odd):
     assert quality.ratios({0: (5, 6), 1: (0, 3)}, tiny) == [round(x, 4) for x in want]
 
 
+def test_all_trusted_documents_count(spark):
+    docs = spark.range(50_100).select(F.col("id").alias("doc_id"), F.lit("calm sea").alias("text"))
+    rules = quality.QualityRules()
+    assert quality.fit(docs, docs.select("doc_id"), rules) == [0.0] * rules.buckets
+
+
 # Decontamination --------------------------------------------------------------
 def slow_matches(text: str, items: dict, rules) -> dict:
     split = lambda t: [w.lower() for w in re.findall(r"[^\W_]+", t)]
