@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm.common import col, free_name, landed, numbered
 
@@ -121,5 +122,6 @@ def read(docs: DataFrame, path: str) -> DataFrame:
     """The rows that `write` has written of `docs`, with their shard as the last column."""
     name = free_name(docs, "shard")
     # The schema keeps shards strings; the empty one is a folder of its own kind, read as null.
-    stored = docs.sparkSession.read.schema(docs.schema.add(name, "string")).parquet(path)
+    columns = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
+    stored = docs.sparkSession.read.schema(columns).parquet(path)
     return stored.withColumn(name, F.coalesce(name, F.lit("")))
