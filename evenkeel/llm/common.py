@@ -66,3 +66,15 @@ def col(name: str) -> Column:
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the key and the text, under names that cannot clash; null texts become empty."""
     return df.select(col(key).alias("id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table that `landed` has written, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    own = path(shared_folder(spark)).toUri().getPath()
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        place = path(folder)
+        if not place.toUri().getPath().startswith(own):
+            raise ValueError(f"not a landed table: {folder}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

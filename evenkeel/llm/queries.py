@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, licenses, pieces, quality, secrets, sharding, simhash, toxicity, urls, warc
+from evenkeel.llm import alignment, centroids, decontaminate, licenses, pieces, quality, secrets, sharding, simhash, toxicity, urls, vectors, warc
 from evenkeel.llm.common import new_folder, table
 
 
@@ -18,6 +18,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model() -> str:
+    """The public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learnt without the held-out third."""
     rules, docs = toxicity.ToxicityRules(), table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -168,6 +175,78 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every kept vector after five rounds and a last assignment."""
+    assigned, final = centroids.clustered(table(spark, sf_dir, "embeddings"))
+    return centroids.described(assigned, final).withColumnRenamed("id", "vec_id")
+
+
+def _centroid_sql(rounds: int, count: int) -> str:
+    """Lloyd's rounds in exact integers, each an assignment and a mean."""
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT k, x AS c FROM (SELECT x, row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS k FROM kept) WHERE k < {count}
+)""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, min({{'d': d, 'k': k}}) AS best FROM (
+    SELECT vec_id, k, CAST(list_sum(list_transform(range(1, 65), lambda j: (x[j] - c[j]) * (x[j] - c[j]))) AS BIGINT) AS d FROM kept, c{r}
+  ) GROUP BY vec_id
+)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.k, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT k, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY j) AS c FROM (
+      SELECT best.k AS k, j, sum(x[j]) AS s, count(*) AS n FROM a{r} JOIN kept USING (vec_id), (SELECT unnest(range(1, 65)) AS j) GROUP BY best.k, j
+    ) GROUP BY k
+  ) m ON m.k = c{r}.k
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.k = best.k
+"""
+
+
+OP11_SQL = _centroid_sql(5, 40)
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every embedding within its label."""
+    return vectors.near_copies(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(u, w) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN links l ON l.u = r.w
+), least AS (
+  SELECT u, min(w) AS component_id FROM reach GROUP BY u
+), degree AS (
+  SELECT u, count(*) AS n FROM links GROUP BY u
+)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON least.u = e.vec_id LEFT JOIN degree ON degree.u = e.vec_id
+"""
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of every document under two tokenizers, scored by corpus-wide counts."""
+    names = [pieces.ship(spark, path) for path in (byte_model(), piece_model())]
+    return alignment.scored(table(spark, sf_dir, "documents"), *names).withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -179,8 +258,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_centroids": op11_centroids,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op3_shards": OP3_SQL,
+    "op11_centroids": OP11_SQL,
+    "op12_near_vectors": OP12_SQL,
 }
