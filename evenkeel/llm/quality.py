@@ -100,12 +100,17 @@ def _cells(buckets: int) -> Column:
 
 def fit(docs: DataFrame, trusted: DataFrame, rules: QualityRules, key: str = "doc_id", text: str = "text") -> list[float]:
     """log(target / raw) of every cell, smoothed. All rows of `docs` form the raw corpus; the target
-    are all those whose key is among `trusted`."""
+    are all those whose key is among `trusted`.
+
+    Texts meet the trusted keys before they are taken apart, by one plan at every size; rows without a key
+    stay out of that join."""
     ids = trusted.select(col(key).alias("id")).where("id is not null").distinct().withColumn("target", F.lit(1))
     rows = docs.select(col(key).alias("id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", _tokens("text").alias("tokens")).select("id", _cells(rules.buckets).alias("cells"))
+    known = rows.where("id is not null").join(ids.hint("merge"), "id", "left").select("target", "text")
+    rows = known.union(rows.where("id is null").select(F.lit(None).cast("int").alias("target"), "text"))
+    rows = rows.select("target", _tokens("text").alias("tokens")).select("target", _cells(rules.buckets).alias("cells"))
     # The outer form, as for the other one the optimiser copies what makes `cells` into a filter.
-    grams = rows.join(ids, "id", "left").select("target", F.explode_outer("cells").alias("cell"))
+    grams = rows.select("target", F.explode_outer("cells").alias("cell"))
     counts = grams.where("cell is not null").groupBy("cell").agg(F.count("target"), F.count(F.lit(1)))
     return ratios({cell: (target, raw) for cell, target, raw in counts.collect()}, rules)  # a row per cell
 
