@@ -108,6 +108,20 @@ def test_shards_against_splitting_one_by_one(spark, odd, none):
     assert sharding.assigned(none, sharding.ShardRules()).collect() == []
 
 
+def test_directories_of_several_blocks_and_of_any_size(spark, monkeypatch):
+    """Blocks of three bits, so that buckets are split over many passes; the directory shipped and not."""
+    monkeypatch.setattr(sharding, "_BLOCK", 3)
+    rows = [(i, 10) for i in range(300)] + [(7, 10)] * 40
+    docs = spark.createDataFrame([(k, "x" * n) for k, n in rows], "doc_id long, text string").repartition(4)
+    want = slow_shards([r for r in rows if r[0] != 7], 60)
+    for shipped in (1 << 18, 0):
+        got = sharding.assigned(docs, sharding.ShardRules(limit=60, most_shipped=shipped)).collect()
+        hot = [r for r in got if r.id == 7]
+        assert len(got) == len(rows) and len(hot) == 41 and all("+" in r.shard and r.shard_bytes <= 60 for r in hot)
+        # Beside the hot key's path all other keys lie as without it, or deeper where they share that path.
+        assert all(r.shard.startswith(want[r.id]) and r.shard_bytes <= 60 for r in got if r.id != 7)
+
+
 def test_hot_key_is_split_further(spark):
     docs = spark.range(900).select(F.when(F.col("id") < 600, 1).otherwise(F.col("id")).alias("doc_id"), F.lit("y" * 10).alias("text")).repartition(4)
     got = sharding.assigned(docs, sharding.ShardRules(limit=200)).collect()
@@ -122,8 +136,9 @@ def test_written_shards_hold_every_row_once(spark, odd):
     got = sharding.read(docs, path).collect()
     assert sorted((r.n, r.doc_id) for r in got) == sorted((r.n, r.doc_id) for r in docs.collect())
     assert max(Counter(r.shard for r in got).values()) <= 20 and sum("+" in r.shard for r in got) == 600
-    one = new_folder(spark, "test-shards")
+    one, before = new_folder(spark, "test-shards"), odd.columns
     sharding.write(odd, one, sharding.ShardRules())
+    assert sharding.read(odd, one).columns == sharding.read(odd, one).columns == [*before, "shard"] and odd.columns == before
     assert sorted(map(repr, sharding.read(odd, one).drop("shard").collect())) == sorted(map(repr, odd.collect()))
 
 
