@@ -145,19 +145,63 @@ def test_written_shards_hold_every_row_once(spark, odd):
 # Licences ---------------------------------------------------------------------
 def test_licences(spark, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    extra = spark.createDataFrame(
-        [(10**6, "Licensed under the apache license, version 2.0\nordinary words here"), (10**6 + 1, "a license to fish in this river"), (10**6 + 2, None), (None, "")],
-        "doc_id long, text string",
-    )
-    rules = licenses.LicenseRules()
-    found = licenses.scan(docs.union(extra), licenses.fit(docs, rules), rules).collect()
+    mit = licenses.TEMPLATES["MIT"][1].split()
+    gpl = licenses.TEMPLATES["GPL"][1].split()
     fixed = {"This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Released under the MIT License.": "MIT",
              "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "Proprietary"}
-    want = {(r.doc_id, n, fixed[line]) for r in docs.collect() for n, line in enumerate(r.text.split("\n")) if line in fixed}
-    assert {(r.id, r.paragraph, r.family) for r in found} == want | {(10**6, 0, "Apache-2.0")}
+    prose = [w for r in docs.orderBy("doc_id").limit(200).collect() for w in r.text.split() if not any(line in r.text for line in fixed)]
+    long = (prose * 20)[:20_000]
+    extra = [
+        ("Licensed under the apache license, version 2.0\nordinary words here", {(0, "Apache-2.0")}),
+        ("a license to fish in this river", set()),
+        (None, set()),
+        ("", set()),
+        ("Intro.\n\n" + " ".join(mit[:9]) + "\n" + " ".join(mit[9:]), {(1, "MIT")}),  # wrapped
+        ("x\r\n \r\n# " + " ".join(gpl[:7]) + "\r\n# " + " ".join(gpl[7:15]) + "\r\n# " + " ".join(gpl[15:]) + " for more", {(1, "GPL")}),
+        (" ".join(long[:9_000] + mit + long[9_000:]), {(0, "MIT")}),  # in the middle of one long line
+        (" ".join(long[:50] + mit + long[50:90] + gpl + long[90:120]), {(0, "MIT"), (0, "GPL")}),
+        (" ".join(w for w in mit if w != "charge,"), {(0, "MIT")}),
+        (" ".join(mit[:8]), set()),
+    ]
+    rows = [(10**6 + i, t) for i, (t, _) in enumerate(extra)] + [(None, "SPDX-License-Identifier: MIT")] * 2
+    more = spark.createDataFrame([(i, t, "p", 0, "f") for i, t in rows], "doc_id long, text string, paragraph string, row int, family string")
+    rules = licenses.LicenseRules()
+    found = licenses.scan(docs.unionByName(more, allowMissingColumns=True), licenses.fit(docs, rules), rules).collect()
+    want = {(r.doc_id, fixed[line]) for r in docs.collect() for line in r.text.split("\n") if line in fixed}
+    assert {(r.id, r.family) for r in found if r.id is not None and r.id < 10**6} == want
+    for i, (text, names) in enumerate(extra):
+        assert {(r.paragraph, r.family) for r in found if r.id == 10**6 + i} == names, text
+    assert sum(r.id is None and r.family == "MIT" for r in found) == 2
     assert licenses.scan(none, licenses.fit(none, rules), rules).collect() == []
 
 
+def test_licence_regression_against_numpy(spark):
+    """Gradient steps and probabilities from the same rows, with plain loops over arrays."""
+    rng, n, k = np.random.default_rng(2), 6, len(licenses.FAMILIES)
+    data = [(int(rng.integers(k)), sorted(rng.choice(n, rng.integers(0, 5), replace=False).tolist()), int(rng.integers(5, 9)), int(rng.integers(1, 4))) for _ in range(40)]
+    rows = spark.createDataFrame(data, "family int, features array<int>, total int, n long")
+    counts = Counter()
+    for family, _, _, times in data:
+        counts[family] += times
+    weights, bias, rules = [[0.0] * k for _ in range(n)], [0.0] * k, licenses.LicenseRules()
+    w, b = np.zeros((n, k)), np.zeros(k)
+    for _ in range(3):
+        licenses.step(rows, dict(counts), weights, bias, rules)
+        gw, gb, seen = np.zeros((n, k)), np.zeros(k), set()
+        for family, features, total, times in data:
+            logits = b + sum((w[f] for f in features), np.zeros(k)) / np.sqrt(total)
+            p = np.exp(logits) / np.exp(logits).sum()
+            p[family] -= 1
+            gb += p * times / (counts[family] * len(counts))
+            for f in features:
+                gw[f] += p * times / (counts[family] * len(counts)) / np.sqrt(total)
+                seen.add(f)
+        b -= rules.rate * gb
+        for f in seen:
+            w[f] = w[f] * (1 - rules.decay) - rules.rate * k * gw[f]
+    assert np.allclose(weights, w, atol=1e-4) and np.allclose(bias, b, atol=1e-4)
+
+
 # URLs -------------------------------------------------------------------------
 def test_parts_and_rules(spark):
     from evenkeel.llm.queries import URL_RULES
