@@ -358,7 +358,19 @@ def apply_feed(target: DataFrame, feed: DataFrame, diff: RowDiff) -> DataFrame:
     for k in on:
         a, b = F.col(f"t.`{key[k]}`"), F.col(f"f.`{k}`")
         cond = cond & (a.eqNullSafe(b) if options.null_safe_keys and k != "occ" else a == b)
-    joined = rows.alias("t").join(feed.alias("f"), cond, "full_outer")
+    nameless, deletes = None, feed
+    if not options.null_safe_keys:
+        # A null key equals none, so the feed deletes such rows of the target one and all. They are matched
+        # apart and null-safely; equality alone would leave them, and it keeps bucketed sides in place.
+        in_target, in_feed = (_any_null([names[k] for k in plan.keys]) for names in (key, {k: k for k in plan.keys}))
+        unkeyed = in_feed & (F.col("op") == "delete")
+        gone = feed.where(unkeyed).select(*[F.col(f"`{k}`") for k in on]).distinct()
+        same = F.lit(True)
+        for k in on:
+            same = same & F.col(f"t.`{key[k]}`").eqNullSafe(F.col(f"g.`{k}`"))
+        nameless = rows.where(in_target).alias("t").join(gone.alias("g"), same, "left_anti").select(*[F.col(f"t.`{c}`") for c in target.columns])
+        rows, deletes = rows.where(~in_target), feed.where(~unkeyed)
+    joined = rows.alias("t").join(deletes.alias("f"), cond, "full_outer")
     joined = joined.where(F.col("f.op").isNull() | (F.col("f.op") != "delete"))
     written, out = F.col("f.op").isNotNull(), []
     for f in target.schema.fields:
@@ -370,7 +382,14 @@ def apply_feed(target: DataFrame, feed: DataFrame, diff: RowDiff) -> DataFrame:
         else:
             value = F.when(written, F.col("f.after")[name].cast(f.dataType)).otherwise(stays)
         out.append(value.alias(f.name))
-    return joined.select(*out)
+    return joined.select(*out) if nameless is None else joined.select(*out).union(nameless)
+
+
+def _any_null(names: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for name in names:
+        found = found | F.col(f"`{name}`").isNull()
+    return found
 
 
 def _form(rows: DataFrame, name: str, dtype: T.DataType) -> Column:

@@ -44,6 +44,8 @@ def format_type(name: Column, max_length: Column, precision: Column, scale: Colu
 
 def user_tables(landed: Mapping[str, DataFrame]) -> DataFrame:
     """pair_id, side, object_id, schema, table of tables that do not ship with the server."""
+    if "user_tables" in landed:  # landed once
+        return landed["user_tables"]
     tables = landed["tables"].filter("not is_ms_shipped").select(*DB, "object_id", "schema_id", F.col("name").alias("table"))
     schemas = landed["schemas"].select(*DB, "schema_id", F.col("name").alias("schema"))
     return tables.join(schemas, DB + ["schema_id"]).drop("schema_id")

@@ -30,7 +30,17 @@ def list_schemas(landed: Mapping[str, DataFrame], scope: str | None = None) -> D
     return landed["pg_namespace"].filter(wanted).select(*DB, F.col("oid").alias("nsp_oid"), name.alias("schema"))
 
 
+def relations(landed: Mapping[str, DataFrame], scope: str | None = None) -> DataFrame:
+    """Tables, views and the like with their schema's name: what every other reader refers to by object id."""
+    rows = landed["pg_class"].filter("relkind not in ('i', 'I')")
+    rows = rows.select(*DB, F.col("oid").alias("rel_oid"), "relkind", F.col("relname").alias("table"), F.col("relnamespace").alias("nsp_oid"), "viewdef")
+    return rows.join(list_schemas(landed, scope), DB + ["nsp_oid"]).drop("nsp_oid")
+
+
 def _relations(landed: Mapping[str, DataFrame], kind: str | None, scope: str | None) -> DataFrame:
+    if "relations" in landed:  # landed once, in scope already
+        known = landed["relations"]
+        return (known if kind is None else known.filter(F.col("relkind") == kind)).select(*DB, "rel_oid", "table", "schema")
     rows = landed["pg_class"] if kind is None else landed["pg_class"].filter(F.col("relkind") == kind)
     rows = rows.select(*DB, F.col("oid").alias("rel_oid"), F.col("relname").alias("table"), F.col("relnamespace").alias("nsp_oid"))
     return rows.join(list_schemas(landed, scope), DB + ["nsp_oid"]).drop("nsp_oid")
@@ -141,15 +151,18 @@ def indexes(landed: Mapping[str, DataFrame], scope: str | None = None) -> DataFr
 
 def views(landed: Mapping[str, DataFrame], scope: str | None = None) -> DataFrame:
     """Views with the full statement around the body the catalog gives."""
-    bodies = landed["pg_class"].filter("relkind = 'v'").select(*DB, F.col("oid").alias("rel_oid"), "viewdef")
-    rows = _relations(landed, "v", scope).join(bodies, DB + ["rel_oid"])
+    if "relations" in landed:
+        rows = landed["relations"].filter("relkind = 'v'")
+    else:
+        bodies = landed["pg_class"].filter("relkind = 'v'").select(*DB, F.col("oid").alias("rel_oid"), "viewdef")
+        rows = _relations(landed, "v", scope).join(bodies, DB + ["rel_oid"])
     body = F.rtrim(F.rtrim("viewdef", F.lit(WHITESPACE)), F.lit(";"))
     text = fill("CREATE OR REPLACE VIEW {n} AS\n{b};", n=POSTGRESQL.qualify(F.col("schema"), F.col("table")), b=body)
     return rows.select(*DB, F.lit("view").alias("kind"), "schema", F.col("table").alias("name"), text.alias("definition"), F.lit(None).cast("string").alias("parent_table"))
 
 
-def routines(landed: Mapping[str, DataFrame], scope: str | None = None) -> DataFrame:
-    """Functions and procedures no extension owns; overloads differ by their arguments."""
+def routines(landed: Mapping[str, DataFrame], scope: str | None = None, keep_id: bool = False) -> DataFrame:
+    """Functions and procedures no extension owns; overloads differ by their arguments. `keep_id` adds `object_id`."""
     owned = landed["pg_depend"].filter("deptype = 'e'").select(*DB, F.col("objid").alias("oid"))
     rows = landed["pg_proc"].filter("prokind in ('f', 'p')").join(owned, DB + ["oid"], "left_anti")
     rows = rows.withColumnRenamed("pronamespace", "nsp_oid").join(list_schemas(landed, scope), DB + ["nsp_oid"])
@@ -157,13 +170,14 @@ def routines(landed: Mapping[str, DataFrame], scope: str | None = None) -> DataF
     return rows.select(
         *DB, F.when(F.col("prokind") == "p", "procedure").otherwise("function").alias("kind"), "schema", name.alias("name"),
         F.col("def").alias("definition"), F.lit(None).cast("string").alias("parent_table"),
+        *[F.col("oid").alias("object_id")] * keep_id,
     )
 
 
-def triggers(landed: Mapping[str, DataFrame], scope: str | None = None) -> DataFrame:
+def triggers(landed: Mapping[str, DataFrame], scope: str | None = None, keep_id: bool = False) -> DataFrame:
     rows = landed["pg_trigger"].filter("not tgisinternal").withColumnRenamed("tgrelid", "rel_oid")
     rows = rows.join(_relations(landed, None, scope), DB + ["rel_oid"])
     return rows.select(
         *DB, F.lit("trigger").alias("kind"), "schema", F.col("tgname").alias("name"), F.col("def").alias("definition"),
-        F.concat("schema", F.lit("."), "table").alias("parent_table"),
+        F.concat("schema", F.lit("."), "table").alias("parent_table"), *[F.col("oid").alias("object_id")] * keep_id,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenkeel.sources import mssql, postgres, tables
+from evenkeel.sources import assemble, mssql, postgres, tables
 from suite import fleet as _fleet  # noqa: F401  (defines the recipes used below)
 from suite.base import load, once, oracle, recipe
 
@@ -341,7 +341,7 @@ from f_code where kind in ('function', 'procedure')
 """)
 recipe("p_pg_depend", "select pair_id, side, oid as objid, case when oid % 3 = 0 then 'e' else 'n' end as deptype from p_pg_proc where oid % 7 < 4")
 recipe("p_pg_trigger", """
-select pair_id, side, name as tgname, cast(floor(input_ord / 4) as bigint) * 10 as tgrelid, input_ord % 5 = 0 as tgisinternal, definition as def from f_code where kind = 'trigger'
+select pair_id, side, 800000000 + input_ord as oid, name as tgname, cast(floor(input_ord / 4) as bigint) * 10 as tgrelid, input_ord % 5 = 0 as tgisinternal, definition as def from f_code where kind = 'trigger'
 """)
 
 
@@ -473,3 +473,121 @@ def _(spark, sf):
 ORACLES["list_schemas_pg"] = oracle(
     "select pair_id, side, schema, '' as scope from ns union all select pair_id, side, nspname, 's2' from p_pg_namespace where nspname = 's2'", _NS
 )
+
+
+# Whole snapshots from landed catalogs -----------------------------------------------------
+_SAID = {
+    "databases": ["database"],
+    "schemas": ["schema"],
+    "tables": ["schema", "tbl"],
+    "columns": "schema tbl name ordinal data_type is_nullable default_expr default_constraint identity_clause computed_expr is_persisted collation".split(),
+    "keys": "schema tbl name is_primary is_clustered columns".split(),
+    "fks": "schema tbl name columns ref_schema ref_table on_delete on_update".split(),
+    "indexes": "schema tbl name is_unique is_clustered columns included filter_expr raw_definition".split(),
+    "checks": "schema tbl name expression".split(),
+    "code_objects": "kind schema name definition parent_table input_ord".split(),
+}
+
+
+def _listed(snapshot):
+    """Every row of a snapshot as (part, pair_id, side, said), `said` being all of its values, a dot for null."""
+    out = None
+    for part, names in _SAID.items():
+        rows = _tbl(getattr(snapshot, part)) if "tbl" in names else getattr(snapshot, part)
+        if part in ("keys", "indexes"):
+            rows = _shown(rows)
+        if part == "indexes":
+            rows = rows.withColumn("included", F.array_join("included", ","))
+        if part == "fks":
+            rows = rows.withColumn("columns", F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit(">"), c["ref_name"])), ","))
+        said = F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit(".")) for n in names])
+        rows = rows.select(F.lit(part).alias("part"), "pair_id", "side", said.alias("said"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def _listed_sql(parts):
+    rows = []
+    for part, names in _SAID.items():
+        said = ", ".join(f'''coalesce(cast("{n}" as varchar), '.')''' for n in names)
+        rows.append(f"select '{part}' as part, pair_id, side, concat_ws('|', {said}) as said from (\n{parts[part]}\n) x")
+    return "\nunion all\n".join(rows)
+
+
+def _ranked_sql(code):
+    return f"select *, row_number() over (partition by pair_id, side order by object_id, kind, schema, name) as input_ord from ({code}) c"
+
+
+@query("snapshot_mssql")
+def _(spark, sf):
+    return _listed(assemble.from_mssql(landed(spark, sf)))
+
+
+ORACLES["snapshot_mssql"] = _listed_sql({
+    "databases": oracle("select pair_id, side, name as database from m_databases where is_current"),
+    "schemas": ORACLES["list_schemas"],
+    "tables": oracle("select pair_id, side, schema, tbl from ut", _UT),
+    "columns": ORACLES["cat_columns_mssql"],
+    "keys": ORACLES["cat_keys_mssql"],
+    "fks": ORACLES["cat_fks_mssql"],
+    "indexes": f"select *, null as raw_definition from ({ORACLES['cat_indexes_mssql']}) i",
+    "checks": ORACLES["cat_checks_mssql"],
+    "code_objects": _ranked_sql(f"select * exclude (input_ord), input_ord as object_id from ({ORACLES['cat_code_mssql']}) m"),
+})
+
+_PG_CODE = """
+select v.*, null as parent_table, c.oid as object_id from ({views}) v
+join (select pair_id, side, schema, tbl as name, rel_oid as oid from ({rel}) r where relkind = 'v') c using (pair_id, side, schema, name)
+union all by name
+select p.pair_id, p.side, case when prokind = 'p' then 'procedure' else 'function' end as kind, ns.schema, proname || '(' || coalesce(identity_args, '') || ')' as name, def as definition,
+       null as parent_table, p.oid as object_id
+from ({proc}) p join ({ns}) ns on ns.pair_id = p.pair_id and ns.side = p.side and ns.nsp_oid = p.pronamespace
+union all by name
+select t.pair_id, t.side, 'trigger' as kind, rel.schema, t.tgname as name, t.def as definition, rel.schema || '.' || rel.tbl as parent_table, t.oid as object_id
+from ({trg}) t join ({rel}) rel on rel.pair_id = t.pair_id and rel.side = t.side and rel.rel_oid = t.tgrelid
+"""
+_PROC = "select * from p_pg_proc p where prokind in ('f', 'p') and not exists (select 1 from p_pg_depend d where d.pair_id = p.pair_id and d.side = p.side and d.objid = p.oid and d.deptype = 'e')"
+
+
+def _pg_parts():
+    # No constraint or trigger is on an index; the derived ids of the two can meet.
+    con, ix = ORACLES["cat_constraints_pg"].replace("rel.rel_oid = con.conrelid", "rel.rel_oid = con.conrelid and rel.relkind <> 'i'"), ORACLES["cat_indexes_pg"]
+    code = _PG_CODE.format(
+        views=ORACLES["cat_views_pg"], rel=oracle("select * from rel where relkind <> 'i'", _NS), ns=oracle("select * from ns", _NS), proc=oracle(_PROC),
+        trg=oracle("select * from p_pg_trigger where not tgisinternal"),
+    )
+    pairs = "array_to_string(list_transform(list_zip(string_split(own_columns, ','), string_split(ref_columns, ',')), lambda p: p[1] || '>' || p[2]), ',')"
+    return {
+        "databases": oracle("select pair_id, side, database from f_databases"),
+        "schemas": oracle("select pair_id, side, schema from ns", _NS),
+        "tables": oracle("select pair_id, side, schema, tbl from rel where relkind = 'r'", _NS),
+        "columns": f"select *, null as default_constraint from ({ORACLES['cat_columns_pg']}) c",
+        "keys": f'''select *, contype = 'p' as is_primary, false as is_clustered, own_columns as "columns" from ({con}) c where contype in ('p', 'u')''',
+        "fks": f"""select *, {pairs} as "columns" from ({con}) c where contype = 'f'""",
+        "indexes": f'''select *, false as is_clustered, '' as "columns", '' as included, null as filter_expr from ({ix}) i''',
+        "checks": f"select * from ({con}) c where contype = 'c'",
+        "code_objects": code,
+    }
+
+
+def _pg_snapshot(spark, sf, scope=None):
+    return assemble.from_postgres(landed_pg(spark, sf), load(spark, sf, "f_databases").select("pair_id", "side", "database"), scope)
+
+
+@query("snapshot_pg")
+def _(spark, sf):
+    return _listed(_pg_snapshot(spark, sf))
+
+
+_PG = _pg_parts()
+ORACLES["snapshot_pg"] = _listed_sql(_PG | {"code_objects": _ranked_sql(_PG["code_objects"])})
+
+
+@query("snapshot_pg_scope")
+def _(spark, sf):
+    return _listed(_pg_snapshot(spark, sf, "s2"))
+
+
+# A scope ranks what it holds.
+_SCOPED = {part: sql if part == "databases" else f"select * from ({sql}) s where schema = 's2'" for part, sql in _PG.items()}
+ORACLES["snapshot_pg_scope"] = _listed_sql(_SCOPED | {"code_objects": _ranked_sql(_SCOPED["code_objects"])})

@@ -332,6 +332,23 @@ ORACLES["roundtrip_zero"] = "\nunion all\n".join(
 )
 
 
+recipe("nameless_s", "select case when o_orderkey % 50 = 0 then null else o_orderkey end as k, o_custkey as v from {orders}")
+recipe(
+    "nameless_t",
+    "select case when o_orderkey % 30 = 0 then null else o_orderkey end as k, o_custkey + case when o_orderkey % 4 = 0 then 1 else 0 end as v "
+    "from {orders} where o_orderkey % 9 <> 0",
+)
+
+
+@query("apply_null_keys")
+def _(spark, sf):
+    """Rows without a key on both sides, each of its own: the sync replaces them all."""
+    return rowdiff.apply_changes(load(spark, sf, "nameless_s"), load(spark, sf, "nameless_t"), ["k"])
+
+
+ORACLES["apply_null_keys"] = oracle("select k, v from nameless_s")
+
+
 @query("row_status_composite")
 def _(spark, sf):
     diff = rowdiff.diff_rows(
