@@ -228,3 +228,16 @@ def test_scan_reads_needed_columns_only(spark):
     diff = rowdiff.diff_rows(orders, narrow, ["o_orderkey"])
     plan = diff.df._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan
+
+
+def test_rows_without_a_key_are_applied(spark):
+    """Null keys, wholly or in part, repeated, and beside a key that both sides have."""
+    schema = "a int, b string, v int"
+    source = spark.createDataFrame([(1, "x", 1), (None, "x", 2), (None, None, 3), (None, None, 3), (2, None, 4)], schema)
+    target = spark.createDataFrame([(1, "x", 9), (None, "x", 2), (None, None, 7), (None, None, 7), (3, None, 5), (4, "y", 6)], schema)
+    synced = rowdiff.apply_changes(source, target, ["a", "b"])
+    assert sorted(map(repr, synced.collect())) == sorted(map(repr, source.collect()))
+    kept = rowdiff.apply_changes(source, target, ["a", "b"], rowdiff.RowDiffOptions(include_deletes=False))
+    assert kept.count() == 10  # every row of the target stays, four of the source are new
+    safe = rowdiff.apply_changes(source.distinct(), target.distinct(), ["a", "b"], rowdiff.RowDiffOptions(null_safe_keys=True))
+    assert sorted(map(repr, safe.collect())) == sorted(map(repr, source.distinct().collect()))

@@ -57,105 +57,103 @@ def script(s, dialect=SQL_SERVER, **options):
 
 
 @pytest.fixture(scope="module")
-def shop(spark):
-    """A shop database: desired state and drifted copy."""
-    utc, new, pending = "(sysutcdatetime())", "(N'New')", "(N'Pending')"
-    identity = "IDENTITY(1,1)"
+def weather(spark):
+    """A network of weather stations: as it should be, and a copy on which people have worked by hand."""
+    station = [col("Stations", "Code", "char(6)", False, ordinal=1)]
+    taken = col("Readings", "TakenAt", "datetime2(3)", False, ordinal=2, schema="log")
+    reads = [col("Readings", "Station", "char(6)", False, ordinal=1, schema="log"), taken, col("Readings", "Quality", "tinyint", False, ordinal=4, schema="log")]
+
+    def link(action):
+        return [("log", "Readings", "FK_Readings_Stations", [(1, "Station", "Code")], "dbo", "Stations", action, "NO ACTION")]
+
     source = {
-        "schemas": [("dbo",), ("sales",)],
-        "columns": [
-            col("Customers", "Id", "int", False, identity=identity, ordinal=1), col("Customers", "Name", "nvarchar(100)", False, ordinal=2),
-            col("Customers", "Email", "nvarchar(255)", ordinal=3),
-            col("Customers", "CreatedAt", "datetime2(7)", False, utc, ordinal=4, default_name="DF_Customers_CreatedAt"),
-            col("Products", "Id", "int", False, identity=identity, ordinal=1), col("Products", "Sku", "nvarchar(50)", False, ordinal=2),
-            col("Products", "Price", "decimal(18,4)", False, "((0))", ordinal=3, default_name="DF_Products_Price"),
-            col("Orders", "Id", "int", False, identity=identity, ordinal=1, schema="sales"), col("Orders", "CustomerId", "int", False, ordinal=2, schema="sales"),
-            col("Orders", "Total", "decimal(18,4)", False, ordinal=3, schema="sales"),
-            col("Orders", "Status", "nvarchar(20)", False, new, ordinal=4, schema="sales", default_name="DF_Orders_Status"),
+        "schemas": [("dbo",), ("log",)],
+        "columns": station + reads + [
+            col("Stations", "Region", "nvarchar(40)", ordinal=2), col("Stations", "Height", "decimal(7,2)", False, "((0.5))", ordinal=3, default_name="DF_Height"),
+            col("Readings", "Celsius", "real", ordinal=3, schema="log"),
+            col("Sensors", "Serial", "bigint", False, identity="IDENTITY(100,5)", ordinal=1), col("Sensors", "Maker", "varchar(30)", default="('n/a')", ordinal=2, default_name="DF_Maker"),
         ],
-        "keys": [key("Customers", "PK_Customers", ["Id"]), key("Customers", "UQ_Customers_Email", ["Email"], False), key("Products", "PK_Products", ["Id"]),
-                 key("Orders", "PK_Orders", ["Id"], schema="sales")],
-        "fks": [("sales", "Orders", "FK_Orders_Customers", [(1, "CustomerId", "Id")], "dbo", "Customers", "CASCADE", "NO ACTION")],
-        "indexes": [index("Products", "IX_Products_Sku", True, ["Sku"]), index("Orders", "IX_Orders_CustomerId", False, ["CustomerId"], schema="sales")],
-        "checks": [("sales", "Orders", "CK_Orders_Total", "([Total]>(0))")],
+        "keys": [key("Stations", "PK_Stations", ["Code"]), key("Readings", "PK_Readings", ["Station", "TakenAt"], schema="log"), key("Sensors", "PK_Sensors", ["Serial"])],
+        "fks": link("NO ACTION"),
+        "indexes": [index("Sensors", "IX_Maker", False, ["Maker"]), index("Readings", "IX_Quality", False, ["Quality", "TakenAt"], schema="log")],
         "code_objects": [
-            ("function", "dbo", "fn_Count", "CREATE FUNCTION dbo.fn_Count () ...", None, 1), ("view", "dbo", "vw_Orders", "CREATE VIEW dbo.vw_Orders AS SELECT a, b", None, 2),
-            ("procedure", "dbo", "usp_Get", "CREATE PROCEDURE dbo.usp_Get AS SELECT 2", None, 3),
-            ("trigger", "sales", "trg_Touch", "CREATE TRIGGER trg_Touch ON sales.Orders ...", "sales.Orders", 4)],
-    }
+            ("function", "dbo", "Fahrenheit", "CREATE FUNCTION dbo.Fahrenheit (@c real) RETURNS real AS BEGIN RETURN @c * 1.8 + 32 END", None, 1),
+            ("view", "log", "Warm", "CREATE VIEW log.Warm AS SELECT dbo.Fahrenheit(Celsius) AS f FROM log.Readings", None, 2),
+            ("procedure", "log", "Purge", "CREATE PROCEDURE log.Purge AS DELETE FROM log.Readings WHERE Quality = 0", None, 3)],
+    }
     target = {
-        "schemas": [("dbo",), ("sales",)],
-        "columns": [
-            col("Customers", "Id", "int", False, identity=identity, ordinal=1), col("Customers", "Name", "nvarchar(100)", False, ordinal=2),
-            col("Customers", "Email", "nvarchar(200)", ordinal=3), col("Customers", "CreatedAt", "datetime2(7)", False, ordinal=4), col("Customers", "LegacyCode", "int", ordinal=5),
-            col("Orders", "Id", "int", False, identity=identity, ordinal=1, schema="sales"), col("Orders", "CustomerId", "int", False, ordinal=2, schema="sales"),
-            col("Orders", "Total", "decimal(10,2)", False, ordinal=3, schema="sales"),
-            col("Orders", "Status", "nvarchar(20)", False, pending, ordinal=4, schema="sales", default_name="DF_Orders_Status"),
-            col("ObsoleteLog", "Id", "int", False, identity=identity),
+        "schemas": source["schemas"],
+        "columns": station + reads + [
+            col("Stations", "Region", "nvarchar(40)", False, ordinal=2), col("Stations", "Height", "decimal(7,2)", False, ordinal=3),
+            col("Readings", "Kelvin", "real", ordinal=3, schema="log"), col("Retired", "Code", "char(6)", False),
         ],
-        "keys": [key("Customers", "PK_Customers", ["Id"]), key("Orders", "PK_Orders", ["Id"], schema="sales"), key("ObsoleteLog", "PK_ObsoleteLog", ["Id"])],
-        "fks": source["fks"],
-        "code_objects": [("view", "dbo", "vw_Orders", "CREATE VIEW dbo.vw_Orders AS SELECT a", None, 1),
-                         ("procedure", "dbo", "usp_Get", "CREATE PROCEDURE dbo.usp_Get AS SELECT 1", None, 2)],
-    }
+        "keys": [key("Stations", "PK_Stations", ["Code"]), key("Readings", "PK_Readings", ["TakenAt"], schema="log")],
+        "fks": link("CASCADE"),
+        "indexes": [index("Readings", "IX_Quality", False, ["Quality"], schema="log")],
+        "checks": [("dbo", "Stations", "CK_Height", "([Height]<(9000))")],
+        "code_objects": [
+            ("function", "dbo", "Fahrenheit", "CREATE FUNCTION dbo.Fahrenheit (@c real) RETURNS real AS BEGIN RETURN @c * 2 + 30 END", None, 1),
+            ("view", "log", "Warm", "create  view log.Warm as SELECT dbo.Fahrenheit(Celsius) AS f FROM log.Readings", None, 2),
+            ("trigger", "log", "Stamp", "CREATE TRIGGER log.Stamp ON log.Readings AFTER INSERT AS SELECT 1", "log.Readings", 4)],
+    }
     return snap(spark, source, target)
 
 
-def test_shop_objects(shop):
-    assert objects(shop) == [
-        ("Table", "dbo.Customers", "Different",
-         "Column [Email]: type nvarchar(200) → nvarchar(255); Column [CreatedAt]: default (none) → (sysutcdatetime()); "
-         "Column [LegacyCode]: only in target (int); Unique constraint [UQ_Customers_Email]: missing in target"),
-        ("Table", "dbo.ObsoleteLog", "TargetOnly", ""),
-        ("Table", "dbo.Products", "SourceOnly", ""),
-        ("Table", "sales.Orders", "Different",
-         "Column [Total]: type decimal(10,2) → decimal(18,4); Column [Status]: default (N'Pending') → (N'New'); "
-         "Check constraint [CK_Orders_Total]: missing in target; Index [IX_Orders_CustomerId]: missing in target"),
-        ("View", "dbo.vw_Orders", "Different", "Definition differs"),
-        ("Procedure", "dbo.usp_Get", "Different", "Definition differs"),
-        ("Function", "dbo.fn_Count", "SourceOnly", ""),
-        ("Trigger", "sales.trg_Touch", "SourceOnly", ""),
-    ]
-
-
-def test_shop_script(shop, tmp_path):
-    text = script(shop)
-    steps = [
-        "BEGIN TRANSACTION;", "-- WARNING: dropping table dbo.ObsoleteLog discards its data.", "DROP TABLE [dbo].[ObsoleteLog];",
-        "CREATE TABLE [dbo].[Products] (\n    [Id] int IDENTITY(1,1) NOT NULL,\n    [Sku] nvarchar(50) NOT NULL,\n"
-        "    [Price] decimal(18,4) NOT NULL CONSTRAINT [DF_Products_Price] DEFAULT ((0)),\n    CONSTRAINT [PK_Products] PRIMARY KEY CLUSTERED ([Id])\n);\n",
-        "ALTER TABLE [dbo].[Customers] ALTER COLUMN [Email] nvarchar(255) NULL;",
-        "ALTER TABLE [dbo].[Customers] ADD CONSTRAINT [DF_Customers_CreatedAt] DEFAULT (sysutcdatetime()) FOR [CreatedAt];",
-        "ALTER TABLE [dbo].[Customers] DROP COLUMN [LegacyCode];",
-        "ALTER TABLE [sales].[Orders] ALTER COLUMN [Total] decimal(18,4) NOT NULL;",
-        "ALTER TABLE [sales].[Orders] DROP CONSTRAINT [DF_Orders_Status];\nALTER TABLE [sales].[Orders] ADD CONSTRAINT [DF_Orders_Status] DEFAULT (N'New') FOR [Status];",
-        "ALTER TABLE [dbo].[Customers] ADD CONSTRAINT [UQ_Customers_Email] UNIQUE ([Email]);",
-        "ALTER TABLE [sales].[Orders] ADD CONSTRAINT [CK_Orders_Total] CHECK ([Total]>(0));",
-        "CREATE INDEX [IX_Orders_CustomerId] ON [sales].[Orders] ([CustomerId]);", "CREATE UNIQUE INDEX [IX_Products_Sku] ON [dbo].[Products] ([Sku]);",
-        "CREATE FUNCTION dbo.fn_Count () ...".replace("CREATE", "CREATE OR ALTER"), "GO\nCREATE OR ALTER VIEW dbo.vw_Orders AS SELECT a, b\nGO",
-        "CREATE OR ALTER PROCEDURE dbo.usp_Get AS SELECT 2", "CREATE OR ALTER TRIGGER trg_Touch", "COMMIT TRANSACTION;\nGO",
-    ]
-    places = [text.find(s) for s in steps]
-    assert -1 not in places, steps[places.index(-1)]
-    assert places == sorted(places)
-    rows = DeploymentPlan(shop, SQL_SERVER).rows
+def test_weather_objects(weather):
+    assert objects(weather) == [
+        ("Table", "dbo.Retired", "TargetOnly", ""),
+        ("Table", "dbo.Sensors", "SourceOnly", ""),
+        ("Table", "dbo.Stations", "Different",
+         "Column [Region]: NOT NULL → NULL; Column [Height]: default (none) → ((0.5)); Check constraint [CK_Height]: only in target"),
+        ("Table", "log.Readings", "Different",
+         "Column [Celsius]: missing in target (real); Column [Kelvin]: only in target (real); "
+         "Primary key: (TakenAt) → (Station, TakenAt); Foreign key [FK_Readings_Stations]: definition differs … (+1)"),
+        ("View", "log.Warm", "Different", "Definition differs"),
+        ("Procedure", "log.Purge", "SourceOnly", ""),
+        ("Function", "dbo.Fahrenheit", "Different", "Definition differs"),
+        ("Trigger", "log.Stamp", "TargetOnly", ""),
+    ]
+
+
+def test_weather_script(weather, tmp_path):
+    """What must go before what: links and keys before what they rest on, and back in the other order."""
+    text = script(weather)
+
+    def at(line):
+        assert text.count(line) == 1, line
+        return text.index(line)
+
+    readings = "ALTER TABLE [log].[Readings] "
+    unlink, relink = at(readings + "DROP CONSTRAINT [FK_Readings_Stations];"), at(readings + "ADD CONSTRAINT [FK_Readings_Stations] FOREIGN KEY ([Station]) REFERENCES [dbo].[Stations] ([Code]);")
+    unkey, rekey = at(readings + "DROP CONSTRAINT [PK_Readings];"), at(readings + "ADD CONSTRAINT [PK_Readings] PRIMARY KEY CLUSTERED ([Station], [TakenAt]);")
+    assert at("DROP TRIGGER IF EXISTS [log].[Stamp];") < unlink < unkey < at(readings + "ADD [Celsius] real NULL;") < rekey < relink
+    assert at("DROP INDEX [IX_Quality] ON [log].[Readings];") < at("CREATE INDEX [IX_Quality] ON [log].[Readings] ([Quality], [TakenAt]);") < relink
+    assert at("ALTER TABLE [dbo].[Stations] DROP CONSTRAINT [CK_Height];") < at("ALTER TABLE [dbo].[Stations] ALTER COLUMN [Region] nvarchar(40) NULL;")
+    assert at("ALTER TABLE [dbo].[Stations] ADD CONSTRAINT [DF_Height] DEFAULT ((0.5)) FOR [Height];") < rekey
+    for gone in ("DROP TABLE [dbo].[Retired];", readings + "DROP COLUMN [Kelvin];"):
+        assert text[: at(gone)].rstrip("\n").split("\n")[-1].startswith("-- WARNING: ")
+    made = "CREATE TABLE [dbo].[Sensors] (\n    [Serial] bigint IDENTITY(100,5) NOT NULL,\n    [Maker] varchar(30) NULL CONSTRAINT [DF_Maker] DEFAULT ('n/a'),\n"
+    assert at(made + "    CONSTRAINT [PK_Sensors] PRIMARY KEY CLUSTERED ([Serial])\n);\n") < at("CREATE INDEX [IX_Maker] ON [dbo].[Sensors] ([Maker]);")
+    assert relink < at("CREATE OR ALTER FUNCTION dbo.Fahrenheit") < at("GO\nCREATE OR ALTER VIEW log.Warm") < at("CREATE OR ALTER PROCEDURE log.Purge")
+    assert at("BEGIN TRANSACTION;") < unlink and text.endswith("COMMIT TRANSACTION;\nGO")
+    rows = DeploymentPlan(weather, SQL_SERVER).rows
     sinks.write_scripts_by_pair(rows, PLAN_ORDER, str(tmp_path / "out"))
     folder = tmp_path / "out" / "pair_id=1"
     saved = "".join((folder / f).read_text() for f in sorted(os.listdir(folder)) if f.endswith(".txt"))
     assert saved == text + "\n"
 
 
-def test_nothing_without_drops(shop):
-    text = script(shop, include_drops=False, use_transaction=False)
-    assert "DROP TABLE" not in text and "DROP COLUMN" not in text and "COMMIT" not in text
+def test_nothing_without_drops(weather):
+    text = script(weather, include_drops=False, use_transaction=False)
+    assert "Retired" not in text and "Kelvin" not in text and "Stamp" not in text and "COMMIT" not in text
 
 
-def test_selection(spark, shop):
-    chosen = spark.createDataFrame([(1, "Table", "DBO", "products"), (1, "View", "dbo", "vw_orders")], "pair_id int, type string, schema string, name string")
-    rows = DeploymentPlan(shop, SQL_SERVER, selection=chosen).rows
+def test_selection(spark, weather):
+    chosen = spark.createDataFrame([(1, "Table", "DBO", "sensors"), (1, "View", "LOG", "warm")], "pair_id int, type string, schema string, name string")
+    rows = DeploymentPlan(weather, SQL_SERVER, selection=chosen).rows
     text = "\n".join(r.text for r in rows.orderBy(*PLAN_ORDER).collect())
-    assert "[dbo].[Products]" in text and "VIEW dbo.vw_Orders" in text
-    assert "Customers" not in text and "usp_Get" not in text and "ObsoleteLog" not in text
+    assert "[dbo].[Sensors]" in text and "VIEW log.Warm" in text
+    assert not any(other in text for other in ("Stations", "[Readings]", "Purge", "Retired", "Stamp"))
 
 
 def test_single_findings(spark):
