@@ -71,28 +71,25 @@ def mentions(objects: DataFrame) -> DataFrame:
 def creation_levels(edges: DataFrame) -> DataFrame:
     """Level of every object that needs another: one more than the highest it needs.
 
-    Each round takes away the edges whose needed object is free. Where a round takes away
-    nothing, the rest are cycles: the first object of each group is then set free.
+    Each round takes away the edges whose needed object is free. A group in which a round takes away
+    nothing has only cycles left, and what hangs on them: its first object is then set free. Groups go on by
+    themselves, so that the levels of a pair don't depend on the other pairs of the fleet.
     Objects that do not appear have level 0.
     """
     left = cut(edges.distinct())
-    rest = left.count()
     found: list[DataFrame] = []
     level = 0
-    while rest:
+    while not left.isEmpty():
         level += 1
         waiting = left.select(*_GROUP, "input_ord").distinct()
         found.append(waiting.withColumn("level", F.lit(level)))
-        still = waiting.withColumnRenamed("input_ord", "needs")
-        following = cut(left.join(still, _GROUP + ["needs"], "left_semi"))
-        count = following.count()
-        if count == rest:
-            first = left.groupBy(*_GROUP).agg(F.min("input_ord").alias("input_ord"))
-            following = cut(left.join(first, _GROUP + ["input_ord"], "left_anti"))
-            count = following.count()
+        still = waiting.select(*_GROUP, F.col("input_ord").alias("needs"), F.lit(True).alias("_waits"))
+        tried = left.join(still, _GROUP + ["needs"], "left")
+        stuck = tried.groupBy(*_GROUP).agg(F.count("_waits").alias("_kept"), F.count(F.lit(1)).alias("_all"), F.min("input_ord").alias("input_ord"))
+        freed = stuck.filter("_kept = _all").select(*_GROUP, "input_ord")
+        left = cut(tried.filter("_waits").drop("_waits").join(freed, _GROUP + ["input_ord"], "left_anti"))
         if len(found) == 16:
             found = [cut(_highest(found))]
-        left, rest = following, count
     if not found:
         return edges.select(*_GROUP, "input_ord").withColumn("level", F.lit(0)).limit(0)
     return _highest(found)

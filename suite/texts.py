@@ -249,6 +249,55 @@ ORACLES["line_diff_summary"] = oracle(
 )
 
 
+# In every third text of some lines the first line moves to the end.
+recipe(
+    "lines_moved",
+    """
+select doc_id, case when doc_id % 3 = 0 and instr(definition, chr(10)) > 0
+                    then substr(definition, instr(definition, chr(10)) + 1) || chr(10) || substr(definition, 1, instr(definition, chr(10)) - 1)
+                    else definition end as definition
+from lines_t
+""",
+)
+
+
+def _rebuilt(without):
+    """Digest of the lines of one version, put together in the order of the listing."""
+    lines = F.collect_list(F.when(F.col("status") != without, F.struct("position", "line")))
+    return F.md5(F.array_join(F.transform(F.array_sort(lines), lambda x: x["line"]), "\n"))
+
+
+@query("line_diff_ordered")
+def _(spark, sf):
+    listing = linediff.ordered_diff(load(spark, sf, "lines_s"), load(spark, sf, "lines_moved"), ["doc_id"])
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("deleted", "inserted", "unchanged")]
+    return listing.groupBy("doc_id").agg(*counts, _rebuilt("inserted").alias("source_md5"), _rebuilt("deleted").alias("target_md5"))
+
+
+# Row i of the table of longest common subsequences follows from row i - 1 alone.
+ORACLES["line_diff_ordered"] = oracle(
+    """
+select doc_id, len(s) - r[-1] as deleted, len(t) - r[-1] as inserted, r[-1] as unchanged,
+       md5(array_to_string(s, chr(10))) as source_md5, md5(array_to_string(t, chr(10))) as target_md5
+from walk where i = len(s)
+""",
+    {
+        "sides": """
+select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(string_split(a.definition, chr(10)), []) as s, coalesce(string_split(b.definition, chr(10)), []) as t
+from lines_s a full outer join lines_moved b on a.doc_id = b.doc_id
+""",
+        "walk": """
+select doc_id, cast(0 as bigint) as i, s, t, list_transform(range(len(t) + 1), lambda j: cast(0 as bigint)) as r from sides
+union all
+select doc_id, i + 1, s, t, list_transform(range(len(t) + 1), lambda j: list_max(list_transform(range(j + 1),
+         lambda k: case when k > 0 and t[k] = s[i + 1] then r[k] + 1 else r[k + 1] end)))
+from walk where i < len(s)
+""",
+    },
+    recursive=True,
+)
+
+
 # Creation order ------------------------------------------------------------------------
 @query("code_edges")
 def _(spark, sf):
@@ -288,6 +337,45 @@ select e.pair_id, e.input_ord, w.level + 1 from walk w join edges e on e.pair_id
 )
 
 
+# Two of three pairs have objects that need a later one, and so cycles.
+recipe(
+    "code_cycles",
+    """
+select pair_id, kind, name, definition || case when pair_id % 3 <> 0 and input_ord % 7 = 0 then ' uses obj_' || (input_ord + 4) else '' end as definition, input_ord
+from code_docs
+""",
+)
+
+
+@query("code_order_cycles")
+def _(spark, sf):
+    ordered = ordering.creation_order(load(spark, sf, "code_cycles"))
+    return ordered.select("pair_id", "kind_ord", "level", "input_ord", "name")
+
+
+# A group's state is the list of edges that are left of it.
+ORACLES["code_order_cycles"] = oracle(
+    """
+select c.pair_id, case c.kind when 'function' then 0 when 'view' then 1 when 'procedure' then 2 else 3 end as kind_ord,
+       coalesce(max(w.level), 0) as level, c.input_ord, c.name
+from code_cycles c left join (select pair_id, kind, level, unnest(e).o as o from walk) w
+  on w.pair_id = c.pair_id and w.kind = c.kind and w.o = c.input_ord
+group by c.pair_id, c.kind, c.input_ord, c.name
+""",
+    {
+        "edges": _EDGES.replace("code_docs", "code_cycles"),
+        "walk": """
+select pair_id, kind, 1 as level, list({'o': input_ord, 'n': needs}) as e from edges group by pair_id, kind
+union all
+select pair_id, kind, level + 1, case when len(alive) = len(e)
+         then list_filter(e, lambda x: x.o <> list_min(list_transform(e, lambda y: y.o))) else alive end
+from (select *, list_filter(e, lambda x: list_contains(list_transform(e, lambda y: y.o), x.n)) as alive from walk where len(e) > 0)
+""",
+    },
+    recursive=True,
+)
+
+
 # Batches -------------------------------------------------------------------------------
 recipe(
     "scripts",

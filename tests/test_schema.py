@@ -220,6 +220,17 @@ def test_creation_order_of_cycles_and_chains(spark):
     assert order(spark, chain) == [f"n{i:02d}" for i in reversed(range(20))]
 
 
+def test_levels_of_a_pair_do_not_depend_on_the_fleet(spark):
+    kind = "pair_id int, kind string, name string, definition string, input_ord int"
+    ring = [(1, "view", f"ring{i}", f"uses ring{(i + 1) % 3}", i) for i in range(3)] + [(1, "view", "tail", "uses ring0", 3)]
+    chain = [(2, "view", f"n{i:02d}", f"uses n{i + 1:02d}" if i < 9 else "end", i) for i in range(10)]
+    levels = {}
+    for name, rows in (("alone", ring), ("fleet", ring + chain)):
+        found = ordering.creation_order(spark.createDataFrame(rows, kind)).filter("pair_id = 1").collect()
+        levels[name] = {r.name: r.level for r in found}
+    assert levels["alone"] == levels["fleet"] == {"ring0": 1, "ring1": 3, "ring2": 2, "tail": 2}
+
+
 def test_mentions_against_brute_force(spark):
     import random
 
