@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evenkeel.functions import literals
 from evenkeel.functions.dialect import POSTGRESQL, SQL_SERVER
-from evenkeel.operators import dml, rowdiff
+from evenkeel.operators import digests, dml, rowdiff
 from evenkeel.options import RowDiffOptions
+from evenkeel.plans.lineage import shared_folder
+from evenkeel.sources import versions
 from suite.base import load, oracle, recipe, table
 
 QUERIES = {}
@@ -257,6 +261,19 @@ def _(spark, sf):
 
 ORACLES["apply_feed"] = oracle("select o_orderkey, " + ", ".join(_ORDER_COLS) + " from orders")
 
+
+@query("apply_partitions")
+def _(spark, sf):
+    """The target of customers in 64 buckets by key, and the version that its change feed makes of it."""
+    source, target, path = table(spark, sf, "customer"), load(spark, sf, "customer_t"), f"{shared_folder(spark)}/customers-{uuid.uuid4().hex}"
+    versions.create(target, path, ["c_custkey"], 64)
+    diff = rowdiff.diff_rows(source, target, ["c_custkey"])
+    versions.apply(path, rowdiff.change_feed(diff), diff)
+    return versions.read(spark, path)
+
+
+ORACLES["apply_partitions"] = oracle(_APPLIED)
+
 # A column computed from another one. Its values in the target are those of the target's own rows.
 recipe("customer_c", "select c_custkey, c_acctbal, c_acctbal * 2 as twice from {customer}")
 recipe(
@@ -433,16 +450,14 @@ select p_partkey + 10000000, p_name, p_brand, p_type, p_size, p_retailprice from
 )
 
 
-@query("diff_all_tables")
-def _(spark, sf):
-    """Eight tables in one job, one of them in step, one with no usable key, one of arrays."""
+def _pairs(spark, sf):
     embeddings = table(spark, sf, "embeddings")
     reversed_ = embeddings.withColumn(
         "embedding", F.when(F.col("vec_id") % 10 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
     )
     region = table(spark, sf, "region")
     pair = rowdiff.TablePair
-    pairs = [
+    return [
         pair("customer", table(spark, sf, "customer"), load(spark, sf, "customer_t"), ["c_custkey"]),
         pair("supplier", table(spark, sf, "supplier"), load(spark, sf, "supplier_t"), ["s_suppkey"]),
         pair("part", table(spark, sf, "part"), load(spark, sf, "part_t"), ["p_partkey"]),
@@ -455,7 +470,18 @@ def _(spark, sf):
         pair("nation", table(spark, sf, "nation"), table(spark, sf, "nation").drop("n_nationkey"), ["n_nationkey"]),
         pair("events", table(spark, sf, "events"), load(spark, sf, "events_t"), []),
     ]
-    return rowdiff.diff_tables(pairs)
+
+
+@query("diff_all_tables")
+def _(spark, sf):
+    """Eight tables in one job, one of them in step, one with no usable key, one of arrays."""
+    return rowdiff.diff_tables(_pairs(spark, sf))
+
+
+@query("diff_tables_digests")
+def _(spark, sf):
+    """The same tables, digests first, and only what differs joined."""
+    return digests.diff_tables(_pairs(spark, sf))
 
 
 def _with_note(name, rel):
@@ -491,6 +517,8 @@ ORACLES["diff_all_tables"] = oracle(
     },
 )
 
+ORACLES["diff_tables_digests"] = ORACLES["diff_all_tables"]
+
 
 # Statements ----------------------------------------------------------------------
 _EVENT_COLS = ["ts", "user_id", "event_type", "value", "props"]
