@@ -43,7 +43,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived, and read back from the archive."""
     path = new_folder(spark, "archive")
     warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.index(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # A response's payload is what follows its header; a revisit's is that of the record it refers to.
+    own = F.substr("record", F.col("header_bytes") + 1)
+    payload = F.when(F.col("record_type") == "response", own).otherwise(F.col("payload"))
+    return warc.records(spark, path).select(
+        F.col("key").alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"), "record_type", "refers_to"
+    )
 
 
 OP2_SQL = """

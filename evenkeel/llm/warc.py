@@ -5,7 +5,9 @@ kept in a table of its own; records are put together again by joins on the diges
 equal payloads of at least `least_revisit` bytes, the one with the least key is a response, the others
 revisit it; shorter payloads are responses always.
 
-An archive is a folder with `payloads` (digest, n_bytes, payload) and `headers` (key, header), both Parquet.
+An archive is a folder with `payloads` (digest, n_bytes, first, copies, payload) and `headers` (key, header, copies), both Parquet, and
+`layout`, which says in how many buckets by digest the payloads lie. Readers shuffle headers to the buckets, so that a
+payload is not moved again; records of a payload with more than `_HOT` of them are dealt over parts.
 
 Null payloads are empty. A null URL leaves its field out; white space and control characters in URLs become
 %20, so that no URL can forge a field. A null key is never referred to while the payload has
@@ -14,6 +16,7 @@ another. Rows that repeat the least key of a payload are all responses.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import col
 
 _LINE = "\r\n"
+_HOT = 1024
+_STORED = "digest string, n_bytes bigint, first bigint, copies bigint, payload binary"
 
 
 @dataclass(frozen=True)
@@ -79,16 +84,22 @@ def write(pages: DataFrame, path: str, rules: WarcRules = WarcRules(), key: str
     # Copies meet map-side first, so that a payload of many rows is sent once per task at most. A second hash
     # tells payloads apart should their digests ever agree.
     stored = rows.groupBy("digest").agg(
-        F.min("key").alias("first"), F.first("payload").alias("payload"),
+        F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("payload").alias("payload"),
         F.min(F.xxhash64("payload")).alias("low"), F.max(F.xxhash64("payload")).alias("high"),
     )
     sound = F.assert_true(F.col("low") == F.col("high"), F.lit("two payloads have one digest"))
-    stored = stored.select("digest", F.octet_length("payload").cast("long").alias("n_bytes"), "first", F.when(sound.isNull(), F.col("payload")).alias("payload"))
-    stored.write.parquet(f"{path}/payloads")
-    index = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "n_bytes", "first")
+    stored = stored.select("digest", F.octet_length("payload").cast("long").alias("n_bytes"), "first", "copies", F.when(sound.isNull(), F.col("payload")).alias("payload"))
+    spark = pages.sparkSession
+    # As many buckets as the aggregate has partitions: its rows are where they belong, a file per bucket.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/layout")
+    name = f"archive_{uuid.uuid4().hex}"
+    stored.write.bucketBy(buckets, "digest").format("parquet").option("path", f"{path}/payloads").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files are the archive; the catalog forgets them
+    index = spark.read.schema(_STORED).parquet(f"{path}/payloads").select("digest", "n_bytes", "first", "copies")
     records = rows.select("key", "url", "digest").join(index, "digest")
     target = F.when((F.col("n_bytes") >= rules.least_revisit) & ~F.col("key").eqNullSafe(F.col("first")), F.col("first"))
-    records.withColumn("first", target).select("key", _header(rules).alias("header")).write.parquet(f"{path}/headers")
+    records.withColumn("first", target).select("key", _header(rules).alias("header"), "copies").write.parquet(f"{path}/headers")
 
 
 def _field(name: str) -> Column:
@@ -99,32 +110,55 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/headers").select(
         "key",
         "header",
+        "copies",
         _field("WARC-Type").alias("record_type"),
         F.regexp_extract(_field("WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1).cast("long").alias("refers_to"),
         F.regexp_extract(_field("WARC-Payload-Digest"), r"^sha256:([0-9a-f]{64})$", 1).alias("digest"),
     )
 
 
-def _verified(spark: SparkSession, path: str) -> DataFrame:
+def _payloads(spark: SparkSession, path: str) -> DataFrame:
+    """The stored payloads as a table in buckets by digest."""
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    name = f"archive_{uuid.uuid4().hex}"
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({_STORED}) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{place}/payloads'")
+    stored = spark.table(name)
+    stored.schema  # resolved, so that the name can go
+    spark.sql(f"DROP TABLE {name}")
+    return stored
+
+
+def _verified(stored: DataFrame) -> DataFrame:
     """The payloads, each digest computed again from the bytes; bytes that don't match fail the job."""
-    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload")
     sound = F.assert_true(F.sha2("payload", 256) == F.col("digest"), F.lit("a stored payload doesn't match its digest"))
-    return stored.select("digest", F.when(sound.isNull(), F.col("payload")).alias("payload"))
+    return stored.select("digest", "copies", F.when(sound.isNull(), F.col("payload")).alias("payload"))
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """(key, record_type, refers_to, payload_digest, payload_bytes) of every record, from the header
     and the verified payload that its digest names. Only lengths cross the join."""
-    sizes = _verified(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    sizes = _verified(_payloads(spark, path)).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
     return _parsed(spark, path).join(sizes, "digest").select("key", "record_type", "refers_to", F.col("digest").alias("payload_digest"), "payload_bytes")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """(key, record_type, refers_to, payload, record): every record's full payload, and its exact
-    bytes as in a WARC file, without the blank lines that end it."""
-    joined = _parsed(spark, path).join(_verified(spark, path), "digest")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select("key", "record_type", "refers_to", "payload", F.concat(F.col("header").cast("binary"), body).alias("record"))
+    """(key, record_type, refers_to, payload, record, header_bytes): every record's full payload, its exact
+    bytes as in a WARC file, without the blank lines that end it, and how many of them are its header."""
+    heads, stored = _parsed(spark, path), _verified(_payloads(spark, path))
+    few = heads.where(F.col("copies") <= _HOT).join(stored.drop("copies").hint("merge"), "digest")
+    # A payload of many records goes to as many tasks as it has parts of `_HOT`.
+    parts = F.ceil(F.col("copies") / _HOT).cast("int")
+    dealt = heads.where(F.col("copies") > _HOT).withColumn("part", F.pmod(F.xxhash64("key", "header"), parts).cast("int"))
+    spread = stored.where(F.col("copies") > _HOT).select("digest", "payload", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    many = dealt.join(spread, ["digest", "part"])
+
+    def whole(joined: DataFrame) -> DataFrame:
+        body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+        record = F.concat(F.col("header").cast("binary"), body)
+        return joined.select("key", "record_type", "refers_to", "payload", record.alias("record"), F.octet_length("header").alias("header_bytes"))
+
+    return whole(few).union(whole(many))
 
 
 def export(spark: SparkSession, path: str, out: str) -> None:

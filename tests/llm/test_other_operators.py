@@ -73,7 +73,29 @@ def test_archive_round_trip(spark):
     assert sum("WARC-Refers-To: <urn:page:9>" in r.header.split("\r\n") for r in back) == 0
     empty = new_folder(spark, "test-archive")
     warc.write(pages.limit(0), empty)
-    assert warc.index(spark, empty).collect() == []
+    assert warc.index(spark, empty).collect() == [] == warc.records(spark, empty).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("archive_")]
+
+
+def test_archive_of_many_copies_moves_payloads_once(spark):
+    """Payloads with more records than a part has, long and short ones; only headers are shuffled when it is read."""
+    copies = 2 * warc._HOT + 5
+    html = F.when(F.col("id") < copies, F.lit("x" * 150)).when(F.col("id") < 2 * copies, F.lit("short")).otherwise(F.concat(F.lit("y" * 120), F.col("id").cast("string")))
+    pages = spark.range(2 * copies + 50).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), html.alias("html"))
+    path = new_folder(spark, "test-archive")
+    warc.write(pages, path)
+    whole = warc.records(spark, path)
+    found = whole.select("key", "record_type", "refers_to", F.col("payload").cast("string").alias("p"), F.octet_length("record").alias("n"), "header_bytes").collect()
+    want = {r.page_id: r.html for r in pages.collect()}
+    assert len(found) == len(want) and {r.key: r.p for r in found} == want
+    for r in found:
+        revisit = 0 < r.key < copies
+        assert (r.record_type, r.refers_to) == (("revisit", 0) if revisit else ("response", None))
+        assert r.n - r.header_bytes == (0 if revisit else len(r.p))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    for node in plan.split("\n"):
+        if "Exchange" in node and "payload" in node:
+            assert "part" in node
 
 
 # Sharding ---------------------------------------------------------------------
