@@ -30,7 +30,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, docs = toxicity.ToxicityRules(), table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
-    scored = toxicity.scored(docs, toxicity.fit(docs, labels, rules), rules).withColumnRenamed("id", "doc_id")
+    scored = toxicity.scored(docs, toxicity.fit(docs.where(~held_out), labels, rules), rules).withColumnRenamed("id", "doc_id")
     return scored.select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),

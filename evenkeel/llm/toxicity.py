@@ -103,7 +103,8 @@ def train(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, rules: ToxicityRul
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Classifier:
-    """Fit on the rows of `labels` (key, label of 0 or 1); give only those that may be learnt from."""
+    """Fit on positives of `labels` (key, label of 0 or 1) against all of `docs` as unlabelled text, labelled or not; give
+    only rows that may be learnt from. The class prior is the share of positives in `labels`."""
     rows = labels.select(col(key).alias("id"), col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     rows = rows.groupBy("id").agg(F.max("y").alias("y"))
     prior = rows.agg(F.avg("y")).first()[0] or 0.0
@@ -112,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules, key: str = "do
         return none
     by_hash = [F.xxhash64("id"), F.col("id")]
     positive = rows.where("y = 1").orderBy(*by_hash).limit(rules.max_positive).select("id", F.lit(True).alias("positive"))
-    unlabelled = rows.orderBy(*by_hash).limit(rules.max_unlabelled).select("id", F.lit(False).alias("positive"))
+    own = docs.select(col(key).alias("id")).where("id is not null").distinct()
+    unlabelled = own.orderBy(*by_hash).limit(rules.max_unlabelled).select("id", F.lit(False).alias("positive"))
     # At most max_positive + max_unlabelled ids: a safe hint.
     sample = keyed(docs, key, text).join(F.broadcast(positive.union(unlabelled)), "id")
 
