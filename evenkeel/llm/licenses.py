@@ -5,9 +5,9 @@ pairs that templates have are looked up in every paragraph, whatever its length.
 while the next one is at most `gap` words away, up to `stretch` words: all places where a notice can lie, and short
 ones, so that text around a notice does not weigh on it. Words and word pairs of a stretch are the features of a
 multinomial logistic regression that tells licence families and an unknown class apart. It is trained by
-gradient descent on the templates, on every variant of them that lacks one word, and on stretches and runs of
-`stretch` words of at most `max_documents` documents, chosen by hash, that share no word triple with a template. A
-third of those is held out: the share `unknown_quantile` of it must come out as unknown, which sets the
+gradient descent on the templates, on every variant of them that lacks one word, and on the stretches and runs of
+`stretch` words of all documents that share no word triple with a template. Equal ones count as one row with a number; with more than
+`batch` such rows the rounds take turns on equal parts of them, so that every document is learnt from. A third of the stretches and runs is held out: the share `unknown_quantile` of it must come out as unknown, which sets the
 probability from which a family is believed. A prediction counts once a template of its family has most of its word
 pairs in the stretch.
 
@@ -18,6 +18,7 @@ empty texts have no paragraph. Rows that share an id are separate rows; a paragr
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -73,7 +74,7 @@ class LicenseRules:
     rounds: int = 12
     rate: float = 4.0
     decay: float = 1e-4
-    max_documents: int = 400
+    batch: int = 4096
     unknown_quantile: float = 0.999
     least_probability: float = 0.5
     least_template: float = 0.75
@@ -150,14 +151,14 @@ def _paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("row", "id", "paragraph", _words(F.col("part")).alias("words"))
 
 
-def _stretches(paragraphs: DataFrame, vocabulary: Vocabulary, rules: LicenseRules) -> DataFrame:
-    """The columns of `paragraphs`, with `words` cut to a stretch: one from every known pair that another follows closely."""
-    keep = [c for c in paragraphs.columns if c != "words"]
-    known = F.filter(
-        F.transform(_grams(2), lambda h, i: F.struct(i.alias("at"), vocabulary.number(h).alias("number"))), lambda x: x["number"].isNotNull()
-    )
-    rows = paragraphs.withColumn("known", F.transform(known, lambda x: x["at"]))
-    rows = _only(rows, [*keep, "words", "known"], F.size("known") > 1)
+def _known(vocabulary: Vocabulary) -> Column:
+    """The places of the known pairs in `words`."""
+    numbers = F.transform(_grams(2), lambda h, i: F.struct(i.alias("at"), vocabulary.number(h).alias("number")))
+    return F.transform(F.filter(numbers, lambda x: x["number"].isNotNull()), lambda x: x["at"])
+
+
+def _spans(rules: LicenseRules) -> Column:
+    """The stretches (first, last) that the places in `known` make, each by its first and last pair."""
 
     def end(first: Column, i: Column) -> Column:
         """The last known pair that is reached from the one at `first`."""
@@ -165,10 +166,44 @@ def _stretches(paragraphs: DataFrame, vocabulary: Vocabulary, rules: LicenseRule
         return F.aggregate(later, first, lambda at, x: F.when((x - at <= rules.gap) & (x - first <= rules.stretch - 2), x).otherwise(at))
 
     spans = F.transform("known", lambda first, i: F.struct(first.alias("first"), end(first, i).alias("last")))
-    rows = rows.select(*keep, "words", F.explode(F.filter(spans, lambda x: x["last"] > x["first"])).alias("span"))
+    return F.filter(spans, lambda x: x["last"] > x["first"])
+
+
+def _stretches(paragraphs: DataFrame, vocabulary: Vocabulary, rules: LicenseRules) -> DataFrame:
+    """The columns of `paragraphs`, with `words` cut to a stretch: one from every known pair that another follows closely."""
+    keep = [c for c in paragraphs.columns if c != "words"]
+    rows = paragraphs.withColumn("known", _known(vocabulary))
+    rows = _only(rows, [*keep, "words", "known"], F.size("known") > 1)
+    rows = rows.select(*keep, "words", F.explode(_spans(rules)).alias("span"))
     return rows.select(*keep, F.slice("words", F.col("span.first") + 1, F.col("span.last") - F.col("span.first") + 2).alias("words"))
 
 
+def _negatives(docs: DataFrame, vocabulary: Vocabulary, rules: LicenseRules, key: str, text: str) -> DataFrame:
+    """(family, held, features, total) of the stretches and of all runs of `stretch` words that share no word triple with a
+    template. Words and pairs are looked up once for each paragraph; a triple can only be where two known pairs meet."""
+    rows = _paragraphs(docs, key, text).select("words")
+    rows = rows.select("words", F.transform(_grams(1), vocabulary.number).alias("one"), F.transform(_grams(2), vocabulary.number).alias("two"))
+    places = F.filter(F.transform("two", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    rows = rows.select("words", "one", "two", places.alias("known"))
+    triples = _literal(vocabulary.triples, "bigint")
+
+    def shared(at: Column) -> Column:
+        triple = F.xxhash64(F.lit(3), *[F.get("words", at + k) for k in range(3)])
+        return F.when(F.get("two", at + 1).isNotNull(), F.array_contains(triples, triple)).otherwise(False)
+
+    rows = rows.select("words", "one", "two", "known", F.filter("known", shared).alias("shared"))
+    size = F.size("words")
+    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(rules.stretch))).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(starts, lambda at: F.struct(at.alias("first"), F.least(at + rules.stretch, size).alias("end")))
+    spans = F.transform(_spans(rules), lambda x: F.struct(x["first"].alias("first"), (x["last"] + 2).alias("end")))
+    clear = F.filter(F.concat(spans, runs), lambda x: ~F.exists("shared", lambda at: (at >= x["first"]) & (at + 3 <= x["end"])))
+    rows = rows.select("words", "one", "two", F.explode(clear).alias("x"))
+    first, length = F.col("x.first") + 1, F.col("x.end") - F.col("x.first")
+    features = F.array_sort(F.array_compact(F.concat(F.slice("one", first, length), F.slice("two", first, length - 1))))
+    held = F.pmod(F.xxhash64(F.slice("words", first, length)), F.lit(3)) == 0
+    return rows.select(F.lit(_UNKNOWN).alias("family"), held.alias("held"), features.alias("features"), (2 * length - 1).alias("total"))
+
+
 def _featured(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds `features`, the numbers of known n-grams, and `total`, the number of all n-grams."""
     rows = rows.withColumn("all", F.concat(_grams(1), _grams(2)))
@@ -202,33 +237,32 @@ def _shares(p: str) -> Column:
 
 
 def fit(docs: DataFrame, rules: LicenseRules, key: str = "doc_id", text: str = "text") -> LicenseModel:
-    """Train on templates and on a bounded sample of `docs`."""
+    """Train on templates and on all of `docs`."""
     spark = docs.sparkSession
     vocabulary, templates = Vocabulary(spark), _templates(spark)
     position = F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("gone")
     variants = templates.select("family", "words", position).select(
         "family", F.filter("words", lambda w, i: i != F.col("gone")).alias("words"), F.lit(False).alias("held")
     )
-    ids = docs.select(col(key).alias("id")).where("id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(rules.max_documents)
-    # At most max_documents ids: a safe hint.
-    sample = docs.select(col(key).alias("id"), col(text).alias("text")).join(F.broadcast(ids), "id", "left_semi")
-    sample = landed(_paragraphs(sample, "id", "text"), "license-sample")
-    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(rules.stretch))).alias("at")
-    runs = sample.select("words", starts).select(F.slice("words", F.col("at"), F.lit(rules.stretch)).alias("words"))
-    found = _stretches(sample.select("words"), vocabulary, rules).union(runs).where(F.size("words") > 0)
-    shared = F.arrays_overlap(_grams(3), _literal(vocabulary.triples, "bigint"))
-    negatives = _only(found.withColumn("shared", shared), ["words"], ~F.col("shared"))
-    negatives = negatives.select(F.lit(_UNKNOWN).alias("family"), "words", (F.pmod(F.xxhash64("words"), F.lit(3)) == 0).alias("held"))
-    rows = _featured(variants.union(negatives), vocabulary).select("family", "held", "features", "total")
+    variants = _featured(variants, vocabulary).select("family", "held", F.array_sort("features").alias("features"), "total")
+    rows = variants.union(_negatives(docs, vocabulary, rules, key, text))
     rows = landed(rows.groupBy("family", "held", "features", "total").agg(F.count(F.lit(1)).alias("n")), "license-training")
-    trained = rows.where("not held")
-    counts = dict(trained.groupBy("family").agg(F.sum("n")).collect())
+    batches = max(1, min(rules.rounds, rows.where("not held").count() // rules.batch))
+    # Templates are in every batch whole, frequent rows with an equal share, and any other row in one of them.
+    known, often = F.col("family") != _UNKNOWN, F.col("n") >= batches
+    part = F.when(known | often, -1).otherwise(F.pmod(F.xxhash64("features", "total"), F.lit(batches))).alias("part")
+    share = F.when(~known & often, F.col("n") / batches).otherwise(F.col("n")).alias("n")
+    trained = rows.where("not held").select("family", "features", "total", share, part)
+    counts = trained.groupBy("part", "family").agg(F.sum("n").alias("n")).collect()
     weights, bias = [[0.0] * len(FAMILIES) for _ in vocabulary.hashes], [0.0] * len(FAMILIES)
-    for _ in range(rules.rounds):
-        step(trained, counts, weights, bias, rules)
+    for i in range(rules.rounds):
+        own = Counter()
+        for r in counts:
+            own[r.family] += r.n * (r.part in (-1, i % batches))
+        step(trained.where(F.col("part").isin(-1, i % batches)), {k: n for k, n in own.items() if n}, weights, bias, rules)
     held = rows.where("held").select("n", _probabilities(weights, bias).alias("p")).select("n", _shares("p").alias("p"))
-    believed = held.select("n", F.array_max(F.slice("p", 1, _UNKNOWN)).alias("b"))
+    # Six decimals, as the cut has: no more than a million values.
+    believed = held.groupBy(F.round(F.array_max(F.slice("p", 1, _UNKNOWN)), 6).alias("b")).agg(F.sum("n").alias("n"))
     cut = believed.agg(F.percentile("b", F.lit(rules.unknown_quantile), F.col("n"))).first()[0]
     return LicenseModel(vocabulary, weights, bias, max(rules.least_probability, round(cut or 0.0, 6)))
 

@@ -226,6 +226,31 @@ def test_licence_regression_against_numpy(spark):
     assert np.allclose(weights, w, atol=1e-4) and np.allclose(bias, b, atol=1e-4)
 
 
+def test_licence_model_learns_from_all_documents(spark, monkeypatch):
+    """Every run of every document is in the rounds or held out, in one batch or in several."""
+    rng = np.random.default_rng(5)
+    words = ["the", "software", "of", "this", "any", *[f"w{i}" for i in range(40)]]
+    texts = [" ".join(rng.choice(words, 100)) for _ in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = {" ".join(t.split()[at : at + 32]) for t in texts for at in range(0, 100, 32)}
+    rules, vocabulary = licenses.LicenseRules(), licenses.Vocabulary(spark)
+    rows = licenses._negatives(docs, vocabulary, rules, "doc_id", "text")
+    # What the general functions give for the same runs and stretches.
+    plain = licenses._stretches(licenses._paragraphs(docs, "doc_id", "text").select("words"), vocabulary, rules)
+    plain = plain.union(spark.createDataFrame([(t.split()[at : at + 32],) for t in texts for at in range(0, 100, 32)], "words array<string>"))
+    triples = licenses._literal(vocabulary.triples, "bigint")
+    plain = licenses._only(plain.withColumn("shared", F.arrays_overlap(licenses._grams(3), triples)), ["words"], ~F.col("shared"))
+    plain = licenses._featured(plain, vocabulary).select(F.array_sort("features"), "total")
+    assert Counter((*r.features, -1, r.total) for r in rows.collect()) == Counter((*f, -1, total) for f, total in plain.collect())
+    want, step = rows.where("not held").count(), licenses.step
+    assert want > len(runs) / 2
+    for batch, batches in ((10**6, 1), (10, 12)):
+        seen = []
+        monkeypatch.setattr(licenses, "step", lambda rows, *rest: (seen.append(rows.where(F.col("family") == licenses._UNKNOWN).agg(F.sum("n")).first()[0]), step(rows, *rest)))
+        licenses.fit(docs, licenses.LicenseRules(batch=batch))
+        assert len(seen) == rules.rounds and np.isclose(sum(seen[:batches]), want)
+
+
 # URLs -------------------------------------------------------------------------
 def test_parts_and_rules(spark):
     from evenkeel.llm.queries import URL_RULES
