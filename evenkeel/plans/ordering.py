@@ -6,14 +6,16 @@ unique. Only objects of one kind in one pair of databases are ordered against ea
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.plans.lineage import cut
+from evenkeel.plans.lineage import cut, landed
 
 _GRAM = 4
+_BITS = 1 << 20
 _GROUP = ["pair_id", "kind"]
 
 # The order in which kinds are created.
@@ -33,6 +35,26 @@ def _grams(value: Column, size: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(value, pattern, F.lit(1)))
 
 
+def _filter(pieces: DataFrame) -> tuple[list[int], Callable[[Column], Column]]:
+    """The sizes of the pieces of names, and a test that every such piece passes and most others don't: a table of
+    2^20 bits by hash, whatever the number of names."""
+    at = F.xxhash64("_gram").bitwiseAND(F.lit(_BITS - 1))
+    bit = F.expr("shiftleft(1L, cast(_at & 63 as int))")
+    sized = pieces.select("_size", at.alias("_at")).distinct()
+    rows = sized.groupBy(F.shiftright("_at", 6).alias("word")).agg(F.bit_or(bit).alias("bits"), F.collect_set("_size").alias("sizes")).collect()
+    words, sizes = [0] * (_BITS // 64), set()
+    for r in rows:
+        words[r.word] = r.bits
+        sizes.update(r.sizes)
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one literal
+
+    def test(piece: Column) -> Column:
+        at = F.xxhash64(piece).bitwiseAND(F.lit(_BITS - 1))
+        return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return sorted(sizes), test
+
+
 def mentions(objects: DataFrame) -> DataFrame:
     """Pairs (input_ord, needs) where the definition contains the name, ignoring case.
 
@@ -45,15 +67,15 @@ def mentions(objects: DataFrame) -> DataFrame:
     )
     named = named.withColumn("_size", F.least(F.length("_name"), F.lit(_GRAM)))
     texts = objects.select(*_GROUP, "input_ord", F.upper("definition").alias("_text"))
-    # Sizes are 1 to 4, so a set holds four values at the most.
-    sizes = named.groupBy(*_GROUP).agg(F.collect_set("_size").alias("_sizes"))
-    sized = texts.join(sizes, _GROUP).select(*_GROUP, "input_ord", "_text", F.explode("_sizes").alias("_size"))
-    in_text = sized.select(*_GROUP, "input_ord", F.explode(_grams(F.col("_text"), F.col("_size"))).alias("_gram"))
-    in_name = named.select(*_GROUP, "needs", F.explode(_grams(F.col("_name"), F.col("_size"))).alias("_gram"))
-    # Pieces of texts that no name has are dropped in the shuffle that brings equal pieces
-    # together. The side kept in memory holds each piece once.
+    in_name = named.select(*_GROUP, "needs", "_size", F.explode(_grams(F.col("_name"), F.col("_size"))).alias("_gram"))
+    sizes, may_be_known = _filter(in_name)
+    # Pieces that no name of the fleet has go before the text is taken apart, the other groups' in the join.
+    pieces = [F.filter(_grams(F.col("_text"), F.lit(size)), may_be_known) for size in sizes]
+    pieces = F.concat(*pieces) if pieces else F.array().cast("array<string>")
+    in_text = texts.select(*_GROUP, "input_ord", F.explode(pieces).alias("_gram"))
     known = in_name.select(*_GROUP, "_gram").distinct().hint("shuffle_hash")
-    in_text = in_text.join(known, _GROUP + ["_gram"], "left_semi")
+    in_text = landed(in_text.join(known, _GROUP + ["_gram"], "left_semi"), "name-pieces")
+    in_name = in_name.drop("_size")
     spread = in_text.groupBy(*_GROUP, "_gram").agg(F.count(F.lit(1)).alias("_texts"))
     rated = in_name.join(spread, _GROUP + ["_gram"], "left")
     anchor = rated.groupBy(*_GROUP, "needs").agg(

@@ -133,3 +133,20 @@ def test_batches(spark):
     assert batches(spark, "GO\nmoor\nGO\nGO") == ["moor"]
     assert batches(spark, "moor;\nGO\nsail;", POSTGRESQL) == ["moor;\nGO\nsail;"]
     assert batches(spark, "\t\n\n", POSTGRESQL) == []
+
+
+def test_name_search_drops_pieces_that_no_name_has(spark):
+    """Names of one to five letters, in text of other words: only their pieces pass the table of bits, and all of them do."""
+    from pyspark.sql import functions as F
+
+    from evenkeel.plans import ordering
+
+    names = ["a", "be", "Öl%", "x.y!", "obj_17", "obj_1", ""]
+    rows = [(1, "view", n, f"{'filler words ' * 50}{names[(i + 1) % 6]}{names[(i + 3) % 6].upper()} ", i) for i, n in enumerate(names)]
+    objects = spark.createDataFrame(rows, "pair_id long, kind string, name string, definition string, input_ord int")
+    want = {(i, j) for _, _, _, text, i in rows for _, _, n, _, j in rows if n and i != j and n.upper() in text.upper()}
+    assert {(r.input_ord, r.needs) for r in ordering.mentions(objects).collect()} == want
+    pieces = spark.createDataFrame([(4, "OBJ_"), (4, "BJ_1"), (2, "BE")], "_size int, _gram string")
+    sizes, test = ordering._filter(pieces)
+    others = spark.range(1000).select((F.col("id") + 5000).cast("string").alias("_gram"))
+    assert sizes == [2, 4] and pieces.where(test(F.col("_gram"))).count() == 3 and others.where(test(F.col("_gram"))).count() < 10
