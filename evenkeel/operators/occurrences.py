@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.compare import comparable, has_map
-from evenkeel.plans.lineage import cut
+from evenkeel.plans.lineage import cut, shared_folder
 
 _FAN_OUT = 4096
 
@@ -19,7 +20,8 @@ def number_occurrences(df: DataFrame, keys: Sequence[str], order_by: Sequence[st
     Equal rows are counted before the shuffle. The rest is dealt out by ranges of (key, values), so that a key
     of any size spreads over as many parts as it needs; each part is numbered apart, and the one key
     that a part may share with the part before it is shifted by a small table of totals. The
-    ranges are checkpointed, as two uses of a range shuffle need not agree on its bounds.
+    ranges are written, as two uses of a range shuffle need not agree on its bounds: as a sorted table in buckets
+    by part, a fraction of a checkpoint's size, unless a column has no type there.
     """
     keys = list(keys)
     maps = [c for c in order_by if has_map(df.schema[c].dataType)]
@@ -28,7 +30,9 @@ def number_occurrences(df: DataFrame, keys: Sequence[str], order_by: Sequence[st
     order = [form.get(c, c) for c in order_by]
     # Equal rows are interchangeable: one row with a count stands for all of them.
     runs = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("_run"), *[F.first(c).alias(c) for c in maps])
-    ranged = cut(runs.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = runs.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    untyped = "void" in ranged.schema.simpleString()
+    ranged = cut(ranged) if untyped else _by_part(ranged.sortWithinPartitions(*keys, *order))
     before = Window.partitionBy("_part").orderBy(*keys, *order).rowsBetween(Window.unboundedPreceding, -1)
     so_far = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = ranged.withColumn("_at", F.coalesce(F.sum("_run").over(before), F.lit(0)))
@@ -43,6 +47,16 @@ def number_occurrences(df: DataFrame, keys: Sequence[str], order_by: Sequence[st
     return _unfold(joined.withColumn("_first", F.col("_first") + moved), [*keys, *order_by], occ)
 
 
+def _by_part(ranged: DataFrame) -> DataFrame:
+    """The ranges as a table in buckets by `_part`, so that numbering within a part moves no row. A task holds one part
+    and writes one file."""
+    spark = ranged.sparkSession
+    name = f"ranges_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged.write.bucketBy(buckets, "_part").format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def _unfold(runs: DataFrame, kept: list[str], occ: str) -> DataFrame:
     """One row per occurrence again. Long runs are cut into chunks of a bounded size first."""
     columns = [F.col(f"`{c}`") for c in kept]

@@ -241,3 +241,19 @@ def test_rows_without_a_key_are_applied(spark):
     assert kept.count() == 10  # every row of the target stays, four of the source are new
     safe = rowdiff.apply_changes(source.distinct(), target.distinct(), ["a", "b"], rowdiff.RowDiffOptions(null_safe_keys=True))
     assert sorted(map(repr, safe.collect())) == sorted(map(repr, source.distinct().collect()))
+
+
+def test_numbering_within_ranges_moves_no_row(spark):
+    """The ranges lie in buckets by part: the plan has no exchange by it, and numbers are right over range borders."""
+    from pyspark.sql import functions as F
+
+    from evenkeel.operators.occurrences import number_occurrences
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 > 0, 7).otherwise(F.col("id")).alias("k"), (F.col("id") % 900).alias("v"))
+    got = number_occurrences(rows, ["k"], ["v"])
+    assert "hashpartitioning(_part" not in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    want, seen = [], {}
+    for k, v in sorted((r.k, r.v) for r in rows.collect()):
+        seen[k] = seen.get(k, 0) + 1
+        want.append((k, v, seen[k]))
+    assert sorted(map(tuple, got.collect())) == want
