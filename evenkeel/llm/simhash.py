@@ -241,25 +241,51 @@ def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray
     return label
 
 
-def _linked(bits: int):
+def spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of `n` positions, some that join what all of them join: n - 1 at most, each as it was given."""
+    label, out = np.arange(n), []
+    for i, j in pairs:
+        while True:
+            x, y = label[i], label[j]
+            apart = x != y
+            if not apart.any():
+                break
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            # Every group is hung below a lower one once, so that no pair closes a ring.
+            high, first = np.unique(np.maximum(x, y), return_index=True)
+            out.append((i[first], j[first]))
+            label[high] = np.minimum(x, y)[first]
+            while (up := label[label]).tobytes() != label.tobytes():
+                label = up
+    ends = zip(*out) if out else ([np.zeros(0, np.int64)],) * 2
+    return tuple(np.concatenate(end) for end in ends)
+
+
+def _linked(bits: int, real: bool):
     def run(group: pa.Table) -> pa.Table:
         sides = [np.sort(np.frombuffer(x.values.to_numpy(zero_copy_only=False).astype("<i8").tobytes(), "<u8")) for x in group.column("fps")]
+        both = np.concatenate(sides)
         if len(sides) == 1:
-            both, label = sides[0], forest(near_pairs(sides[0], None, bits), len(sides[0]))
+            pairs = near_pairs(both, None, bits)
         else:
             a, b = sides
-            both = np.concatenate(sides)
-            label = forest(((i, j + len(a)) for i, j in near_pairs(a, b, bits)), len(both))
-        linked = label != np.arange(len(label))
+            pairs = ((i, j + len(a)) for i, j in near_pairs(a, b, bits))
+        if real:
+            u, v = spanning(pairs, len(both))
+        else:
+            label = forest(pairs, len(both))
+            u = np.flatnonzero(label != np.arange(len(label)))
+            v = label[u]
         signed = both.view(np.int64)
-        return pa.table({"u": signed[linked], "v": signed[label[linked]]})
+        return pa.table({"u": signed[u], "v": signed[v]})
 
     return run
 
 
-def links(fps: DataFrame, bits: int = 4, leaf_size: int = 32_768) -> DataFrame:
+def links(fps: DataFrame, bits: int = 4, leaf_size: int = 32_768, real: bool = False) -> DataFrame:
     """Edges (u, v) that join exactly the distinct values of `fp` that chains of pairs within
-    `bits` bits join: a spanning forest for each pair of leaves."""
+    `bits` bits join: a spanning forest for each pair of leaves. If `real`, every edge is itself
+    a pair within `bits` bits."""
     nodes = _grow(fps, leaf_size)
     depths = [d for (d,) in nodes.where("leaf").select("depth").distinct().collect()]  # 33 at most
     pairs = landed(_node_pairs(nodes, max(depths, default=0), bits).withColumn("pair", F.monotonically_increasing_id()), "leaf-pairs")
@@ -270,7 +296,7 @@ def links(fps: DataFrame, bits: int = 4, leaf_size: int = 32_768) -> DataFrame:
     b = pairs.where("da <> db or pa <> pb").select("pair", F.col("db").alias("depth"), F.col("pb").alias("prefix"))
     n = max(fps.sparkSession.sparkContext.defaultParallelism, min(pairs.count() // 4, 100_000))
     sides = leaves.join(a.union(b), ["depth", "prefix"]).select("pair", "fps").repartition(n, "pair")
-    return sides.groupBy("pair").applyInArrow(_linked(bits), "u bigint, v bigint")
+    return sides.groupBy("pair").applyInArrow(_linked(bits, real), "u bigint, v bigint")
 
 
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:

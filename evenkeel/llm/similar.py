@@ -1,18 +1,19 @@
-"""Near copies by exact Jaccard similarity of shingle sets, found by shared marks and by prefixes.
+"""Near copies by SimHash and exact Jaccard similarity of shingle sets.
 
-Rows with equal shingle sets meet once. Sets that share the SimHash fingerprint or one of `_MARKS` minimum hashes are
-compared with a leading row that has it first. The rows of one mark are dealt by hash into parts of about `part`, each led by
-its row of the fewest shingles that the sample below lacks, which is near to the centre of its group; so a large group is
-linked by a few pairs for each of its rows, even where no single row is near to all others. What is left meets by an exact prefix filter: in any common order of shingles, two sets of Jaccard similarity s have one
+Rows with equal shingle sets meet once. The binary trie of `simhash.py` finds pairs of fingerprints within `bits` bits; the leading
+rows of both are compared, and the rows of one fingerprint with theirs. At a similarity of 0.8 fingerprints of 64 bits differ in about
+10 bits and in up to 23, a budget at which a trie prunes nothing; so what is similar but further apart meets by the two steps below.
+
+Sets that share one of `_MARKS` minimum hashes are compared with a leading row that has it first, as those of one fingerprint are. The
+rows of one mark are dealt by hash into parts of about `part`, each led by its row of the fewest shingles that the sample below lacks,
+which is near to the centre of its group; so a large group is linked by a few pairs for each of its rows, even where no single row is
+near to all others. What is left meets by an exact prefix filter: in any common order of shingles, two sets of Jaccard similarity s have one
 of their first n - ceil(s n) + 1 shingles in common. The order puts shingles first that are rare in a bounded sample of
 documents, which changes the work, not the result. Of each shingle's list only pairs of sets that are not linked yet are
 formed, and none within the label that most of the list has, so that a large group costs no pairs of its own. Sizes,
 positions and counts of shingles by `_SKETCH` cells then drop only pairs that cannot reach the similarity; the rest is
 decided by the sets themselves. Texts move once for each block of partners, and are cut into shingles where they meet.
 
-At a similarity of 0.8 fingerprints of 64 bits differ in about 10 bits and in up to 23, a budget at which a trie
-prunes nothing; so the trie of `simhash.py` serves small budgets, and this module the stage that asks for 0.8.
-
 Null texts count as empty; empty texts are one group. A text of fewer words than a shingle is its only shingle.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.common import col, dropped, keyed, landed, numbered
 from evenkeel.llm.components import components
+from evenkeel.llm.simhash import links as near_fingerprints
 from evenkeel.llm.simhash import majority_bits, shingle_hashes
 
 _MARKS = 8
@@ -40,11 +42,12 @@ _ODD = np.random.default_rng(1).integers(0, 2**63, (2, _MARKS), dtype=np.uint64)
 @dataclass(frozen=True)
 class Similar:
     """The order of shingles comes from one of `one_in` documents, of which the `frequent` most frequent shingles are held as
-    such. Tables of at most `most_shipped` numbers travel to all tasks; larger ones are shuffled. Texts meet in blocks of about
+    such. The trie finds fingerprints within `bits` bits. Tables of at most `most_shipped` numbers travel to all tasks; larger ones are shuffled. Texts meet in blocks of about
     `block` shingles."""
 
     words: int = 5
     similarity: float = 0.8
+    bits: int = 4
     one_in: int = 8
     frequent: int = 1 << 20
     most_shipped: int = 1 << 21
@@ -187,6 +190,17 @@ def _candidates(sets: DataFrame, labels: DataFrame, rules: Similar) -> DataFrame
     return pairs.select(F.greatest("rowa", "rowb").alias("u"), F.least("rowa", "rowb").alias("v")).distinct()
 
 
+def _near(sets: DataFrame, rules: Similar) -> DataFrame:
+    """(u, v): the leading rows of fingerprints of `sets` (row, rare, marks) that the trie finds within `bits` bits, as many pairs
+    as join what all of them join."""
+    fps = sets.groupBy(F.get("marks", F.lit(0)).alias("fp")).agg(F.min(F.struct("rare", "row")).getField("row").alias("row"))
+    fps = landed(fps, "leading-rows")
+    pairs = landed(near_fingerprints(fps.select("fp"), rules.bits, real=True), "near-fingerprints")
+    for side in "uv":
+        pairs = pairs.join(_shipped(fps.select(F.col("fp").alias(side), F.col("row").alias(f"row{side}")), rules), side)
+    return pairs.select(F.greatest("rowu", "rowv").alias("u"), F.least("rowu", "rowv").alias("v"))
+
+
 def _marked(sets: DataFrame, rules: Similar) -> DataFrame:
     """(u, v): every row of `sets` (row, rare, marks) with the leading row of its part of each of its marks."""
     marks = sets.select("row", "rare", F.posexplode("marks").alias("k", "mark"))
@@ -205,7 +219,9 @@ def groups(rows: DataFrame, rules: Similar) -> DataFrame:
     own = landed(vertex.select(F.col("vertex").alias("row")), "set-rows")
     sets = signed.join(_shipped(own, rules), "row", "left_semi").where("n > 0")
     small = landed(sets.select("row", "n", "sketch", "rare", "marks"), "sketches")
-    links = _linked(_marked(small, rules), small, rows, rules)
+    first = _near(small, rules).union(_marked(small, rules)).distinct()
+    links = _linked(first, small, rows, rules)
+    dropped(first)
     label = components(links).select(F.col("vertex").alias("row"), F.col("root").alias("label"))
     labels = landed(own.join(label, "row", "left").select("row", F.coalesce("label", "row").alias("label")), "set-labels")
     more = _linked(_candidates(sets, labels, rules), small, rows, rules)

@@ -347,6 +347,35 @@ def test_near_copies_against_brute_force(spark, none):
     assert similar.one_per_group(none).collect() == []
 
 
+def test_near_copies_by_the_trie_alone(spark, monkeypatch):
+    """Without the other steps, fingerprints up to four bits apart meet, and no others."""
+    from evenkeel.llm import similar
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    pairs = [(" ".join(b), edited(rng, b, 3)) for b in ([rng.choice(vocabulary) for _ in range(600)] for _ in range(60))]
+    texts = [text for pair in pairs for text in pair]
+    prints = [int(similar.signature(similar.shingle_set(t, 5))[3][0]) % 2**64 for t in texts]
+    apart = [(prints[i] ^ prints[i + 1]).bit_count() for i in range(0, len(texts), 2)]
+    assert sum(0 < d <= 4 for d in apart) > 10 and sum(d > 4 for d in apart) > 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    none = spark.range(0).select(*[F.col("id").alias(c) for c in "uv"])
+    monkeypatch.setattr(similar, "_marked", lambda *_: none)
+    monkeypatch.setattr(similar, "_candidates", lambda *_: none)
+    gone = set(range(len(texts))) - {r.doc_id for r in similar.one_per_group(docs).collect()}
+    assert gone == {2 * k + 1 for k, d in enumerate(apart) if d <= 4 and (d or texts[2 * k] == texts[2 * k + 1])}
+
+
+def test_spanning_pairs():
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(0, 2**64, 30, dtype=np.uint64)[rng.integers(0, 30, 600)] ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)))
+    u, v = simhash.spanning(simhash.near_pairs(words, None, 2), len(words))
+    label = simhash.forest(simhash.near_pairs(words, None, 2), len(words))
+    assert (np.bitwise_count(words[u] ^ words[v]) <= 2).all()
+    assert len(u) == len(words) - len(set(label.tolist()))
+    assert (simhash.forest(iter([(u, v)]), len(words)) == label).all()
+
+
 def test_one_per_group_decides_by_row(spark):
     """Ids that repeat and ids that are null, with texts that have a near copy or none."""
     from evenkeel.llm import similar
