@@ -18,8 +18,8 @@ from evenkeel.functions.dialect import Dialect, fill
 from evenkeel.operators.codediff import code_key
 from evenkeel.operators.schemadiff import TABLE_KEY, SchemaDiff
 from evenkeel.options import CompareOptions, ScriptOptions
-from evenkeel.plans.lineage import cut
-from evenkeel.plans.ordering import creation_order
+from evenkeel.plans.lineage import landed
+from evenkeel.plans.ordering import creation_order, creation_orders
 from evenkeel.sources.snapshot import Snapshot
 
 PLAN_ORDER = ["phase", "n1", "t1", "t2", "n2", "n3", "t3", "line"]
@@ -141,6 +141,40 @@ class DeploymentPlan:
         wanted = self._code.filter(F.col("status").isin(*statuses)).select("pair_id", "ckey")
         return rows.withColumn("ckey", key).join(wanted, ["pair_id", "ckey"], "left_semi")
 
+    @cached_property
+    def _redefined_of(self) -> dict[str, DataFrame]:
+        return {kind: self._redefined(kind) for kind in ("pk", "unique", "check", "index", "fk")}
+
+    @cached_property
+    def _gone_code(self) -> DataFrame | None:
+        """Code that goes or is created anew, if any can."""
+        statuses = (["TargetOnly"] if self.script.include_drops else []) + (
+            ["Different"] if self.dialect.drops_changed_code else []
+        )
+        return self._code_models("target", statuses) if statuses else None
+
+    @cached_property
+    def _created_code(self) -> DataFrame:
+        return self._code_models("source", ["SourceOnly", "Different"])
+
+    @cached_property
+    def _gone_order(self) -> DataFrame | None:
+        return None if self._gone_code is None else creation_order(self._gone_code)
+
+    @cached_property
+    def _created_order(self) -> DataFrame:
+        return creation_order(self._created_code)
+
+    def _land(self) -> None:
+        """Land what several phases read, so that each of it is computed once; and order all code in the same rounds."""
+        self.diff.tables = landed(self.diff.tables, "plan-tables")
+        self._redefined_of = {kind: landed(rows, f"plan-{kind}") for kind, rows in self._redefined_of.items()}
+        self._code = landed(self._code, "plan-code")
+        if self._gone_code is not None:
+            self._gone_code = landed(self._gone_code, "plan-gone")
+            self._created_code = landed(self._created_code, "plan-created")
+            self._gone_order, self._created_order = creation_orders([self._gone_code, self._created_code])
+
     # Phases ------------------------------------------------------------------------
     @cached_property
     def schemas(self) -> DataFrame:
@@ -154,22 +188,18 @@ class DeploymentPlan:
     @cached_property
     def drop_code(self) -> DataFrame:
         """Code that goes or is created anew, in reverse creation order."""
-        statuses = (["TargetOnly"] if self.script.include_drops else []) + (
-            ["Different"] if self.dialect.drops_changed_code else []
-        )
-        if not statuses:
+        if self._gone_order is None:
             return self._no_rows()
-        ordered = creation_order(self._code_models("target", statuses))
         code = F.struct("kind", "schema", "name", "parent_table")
         return _lines(
-            ordered, 1, [self.dialect.drop_code(code)], n1=-F.col("kind_ord"), n2=-F.col("level"), n3=-F.col("input_ord")
+            self._gone_order, 1, [self.dialect.drop_code(code)], n1=-F.col("kind_ord"), n2=-F.col("level"), n3=-F.col("input_ord")
         )
 
     @cached_property
     def drop_fks(self) -> DataFrame:
         """Changed and removed foreign keys, and all that refer or belong to a dropped table."""
         fold = self.diff.options.fold
-        changed = self._redefined("fk").filter("t is not null").select(
+        changed = self._redefined_of["fk"].filter("t is not null").select(
             *TABLE_KEY, "nkey", F.col("target_schema").alias("schema"), F.col("target_table").alias("table"), F.col("t.name").alias("name")
         )
         all_fks = self._side(self.snapshot.fks, "target").withColumn("nkey", fold(F.col("name")))
@@ -188,7 +218,7 @@ class DeploymentPlan:
         target = self._target_names()
         parts = []
         for position, kind in enumerate(("index", "unique", "check", "pk")):
-            rows = self._redefined(kind).filter("t is not null")
+            rows = self._redefined_of[kind].filter("t is not null")
             if kind == "index":
                 text = self.dialect.drop_index(F.col("target_schema"), F.col("target_table"), F.col("t.name"))
             else:
@@ -315,7 +345,7 @@ class DeploymentPlan:
         """Primary keys, unique constraints and checks of kept tables."""
         parts = []
         for position, kind in enumerate(("pk", "unique", "check")):
-            rows = self._redefined(kind).filter("s is not null")
+            rows = self._redefined_of[kind].filter("s is not null")
             table = self._source_names()
             text = (
                 self.dialect.add_check(table, F.col("s.name"), F.col("s.expression"))
@@ -329,7 +359,7 @@ class DeploymentPlan:
 
     def _created(self, kind: str, frame: DataFrame) -> DataFrame:
         """Children to create: changed ones of kept tables and all of new tables."""
-        kept = self._redefined(kind).filter("s is not null").select("pair_id", "schema", "table", "s", F.lit(0).alias("is_new"))
+        kept = self._redefined_of[kind].filter("s is not null").select("pair_id", "schema", "table", "s", F.lit(0).alias("is_new"))
         new = self._side(frame, "source").join(self._new, TABLE_KEY, "left_semi")
         if kind in ("fk", "index"):
             new = new.withColumn("columns", F.array_sort("columns"))
@@ -353,9 +383,8 @@ class DeploymentPlan:
     @cached_property
     def create_code(self) -> DataFrame:
         """New and changed code: functions, views, procedures, triggers; needed ones first."""
-        ordered = creation_order(self._code_models("source", ["SourceOnly", "Different"]))
         texts = self.dialect.create_code(F.col("definition"))
-        return _lines(ordered, 10, texts, n1=F.col("kind_ord"), n2=F.col("level"), n3=F.col("input_ord"))
+        return _lines(self._created_order, 10, texts, n1=F.col("kind_ord"), n2=F.col("level"), n3=F.col("input_ord"))
 
     def _no_rows(self) -> DataFrame:
         return _lines(self.snapshot.databases.limit(0), 0, [F.lit("")])
@@ -364,12 +393,13 @@ class DeploymentPlan:
     @cached_property
     def rows(self) -> DataFrame:
         """All phases with titles, header and transaction, for the pairs whose two sides run the dialect's engine."""
+        self._land()
         phases = [
             self.schemas, self.drop_code, self.drop_fks, self.drop_constraints, self.drop_tables, self.create_tables,
             self.alter_columns, self.add_constraints, self.create_indexes, self.create_fks, self.create_code,
         ]
         # Landed once: the titles and any sort would compute all phases again.
-        body = cut(_union(phases))
+        body = landed(_union(phases), "plan-lines")
         title = F.lit("")
         for phase, name in SECTIONS.items():
             title = F.when(F.col("phase") == phase, f"-- ==== {name} ====").otherwise(title)
@@ -413,12 +443,14 @@ def fleet_rows(
 ) -> DataFrame:
     """The plan of every pair in the dialect of its own engine. A pair of two engines, or of one
     without a dialect, has a line that says why it has no script."""
-    parts, served = [], None
-    for dialect in dialects:
-        pairs = cut(engine_pairs(snapshot, dialect))
-        served = pairs if served is None else served.union(pairs)
-        # Landed, as a plan reads each frame several times.
-        own = Snapshot(**{f.name: cut(getattr(snapshot, f.name).join(pairs, "pair_id", "left_semi")) for f in fields(snapshot)})
+    place = "_dialect"
+    served = _union([engine_pairs(snapshot, d).withColumn(place, F.lit(i)) for i, d in enumerate(dialects)])
+    served = landed(served, "served-pairs")
+    # Landed once for all dialects, each in its own folder, as a plan reads each frame several times.
+    frames = {f.name: landed(getattr(snapshot, f.name).join(served, "pair_id"), f.name, place) for f in fields(snapshot)}
+    parts = []
+    for i, dialect in enumerate(dialects):
+        own = Snapshot(**{name: frame.where(F.col(place) == i).drop(place) for name, frame in frames.items()})
         parts.append(DeploymentPlan(own, dialect, compare, script, selection).rows)
     left = _engines(snapshot).join(served, "pair_id", "left_anti")
     text = fill("-- ERROR: no script: the source runs {s}, the target runs {t}.", s=F.coalesce("s", F.lit("?")), t=F.coalesce("t", F.lit("?")))

@@ -28,8 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet to the shared folder and read that: far smaller than a checkpoint, without its partitions."""
+def landed(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write as Parquet to the shared folder and read that: far smaller than a checkpoint, without its partitions.
+    With `by`, a folder for each value of that column, of which a filter reads only its own."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    # The schema is known, also of a table without rows; no job need look for it.
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.plans.lineage import cut, landed
+from evenkeel.plans.lineage import landed
 
 _GRAM = 4
 _BITS = 1 << 20
@@ -98,7 +98,7 @@ def creation_levels(edges: DataFrame) -> DataFrame:
     themselves, so that the levels of a pair don't depend on the other pairs of the fleet.
     Objects that do not appear have level 0.
     """
-    left = cut(edges.distinct())
+    left = landed(edges.distinct(), "edges-left")
     found: list[DataFrame] = []
     level = 0
     while not left.isEmpty():
@@ -109,9 +109,9 @@ def creation_levels(edges: DataFrame) -> DataFrame:
         tried = left.join(still, _GROUP + ["needs"], "left")
         stuck = tried.groupBy(*_GROUP).agg(F.count("_waits").alias("_kept"), F.count(F.lit(1)).alias("_all"), F.min("input_ord").alias("input_ord"))
         freed = stuck.filter("_kept = _all").select(*_GROUP, "input_ord")
-        left = cut(tried.filter("_waits").drop("_waits").join(freed, _GROUP + ["input_ord"], "left_anti"))
+        left = landed(tried.filter("_waits").drop("_waits").join(freed, _GROUP + ["input_ord"], "left_anti"), "edges-left")
         if len(found) == 16:
-            found = [cut(_highest(found))]
+            found = [landed(_highest(found), "levels")]
     if not found:
         return edges.select(*_GROUP, "input_ord").withColumn("level", F.lit(0)).limit(0)
     return _highest(found)
@@ -124,7 +124,23 @@ def _highest(parts: list[DataFrame]) -> DataFrame:
 
 def creation_order(objects: DataFrame) -> DataFrame:
     """Add kind_ord and level. Create by (kind_ord, level, input_ord), drop in reverse."""
-    levels = creation_levels(mentions(objects))
+    return _with_levels(objects, creation_levels(mentions(objects)))
+
+
+def creation_orders(sets: list[DataFrame]) -> list[DataFrame]:
+    """`creation_order` of several sets of objects, each by itself, in the rounds of one."""
+
+    def apart(i: int) -> Column:
+        return F.concat(F.lit(f"{i} "), F.col("kind")).alias("kind")
+
+    needed = ["name", "definition", "input_ord"]
+    objects = reduce(DataFrame.unionByName, [s.select("pair_id", apart(i), *needed) for i, s in enumerate(sets)])
+    levels = landed(creation_levels(mentions(landed(objects, "code-to-order"))), "creation-levels")
+    own = [levels.filter(F.col("kind").startswith(f"{i} ")) for i in range(len(sets))]
+    return [_with_levels(s, found.withColumn("kind", F.expr("substring(kind, instr(kind, ' ') + 1)"))) for s, found in zip(sets, own)]
+
+
+def _with_levels(objects: DataFrame, levels: DataFrame) -> DataFrame:
     out = objects.join(levels, _GROUP + ["input_ord"], "left")
     return out.withColumn("kind_ord", kind_order(F.col("kind"))).withColumn(
         "level", F.coalesce(F.col("level"), F.lit(0))

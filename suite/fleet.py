@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenkeel.plans.lineage import cut
+from evenkeel.plans.lineage import landed
 from evenkeel.sources import snapshot
 from suite.base import load, once, recipe
 
@@ -249,7 +249,7 @@ def _fleet(spark, sf, postgres: bool) -> snapshot.Snapshot:
     user's snapshot lies in files too."""
 
     def get(name):
-        rows = once(spark, ("landed frame", sf, name), lambda: cut(load(spark, sf, name)))
+        rows = once(spark, ("landed frame", sf, name), lambda: landed(load(spark, sf, name), name))
         return rows.withColumnRenamed("sch", "schema").withColumnRenamed("tbl", "table").withColumnRenamed("coll", "collation")
 
     # Lists come in reverse here: their order must come from `ord`.

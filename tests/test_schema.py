@@ -255,3 +255,17 @@ def test_snapshot_of_real_tables(spark):
     rows = snapshot.columns_of(left, 1, "source", "s", "t").unionByName(snapshot.columns_of(right, 1, "target", "s", "t"))
     s = snapshot.build(spark, columns=rows, tables=rows.select("pair_id", "side", "schema", "table").distinct())
     assert [o[3] for o in objects(s)] == ["Column [id]: type int → bigint; Column [extra]: only in target (date)"]
+
+
+def test_code_ordered_together_as_apart(spark):
+    """Two sets of objects with equal keys take their rounds together, without a word between them."""
+    from evenkeel.plans.ordering import creation_order, creation_orders
+
+    schema = "pair_id long, kind string, name string, definition string, input_ord int"
+    one = [(1, "view", "aaaa", "bbbb cccc", 1), (1, "view", "bbbb", "cccc", 2), (1, "view", "cccc", "", 3), (1, "trigger", "dddd", "aaaa", 4)]
+    two = [(1, "view", "aaaa", "", 1), (1, "view", "bbbb", "aaaa", 2), (2, "function", "ring", "loop", 1), (2, "function", "loop", "ring", 2)]
+    sets = [spark.createDataFrame(rows, schema) for rows in (one, two, [])]
+    for alone, together in zip(map(creation_order, sets), creation_orders(sets)):
+        assert together.columns == alone.columns
+        assert sorted(together.collect()) == sorted(alone.collect())
+    assert {r.level for r in creation_orders(sets)[0].collect()} == {0, 1, 2}
